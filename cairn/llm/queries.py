@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .linededup import OP6_SQL, op6_line_dedup
 from .sharding import op4_sharding
 
 QUERIES = {
     "op4_sharding": op4_sharding,
+    "op6_line_dedup": op6_line_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_line_dedup": OP6_SQL,
+}
