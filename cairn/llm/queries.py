@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from .decontamination import OP1_SQL, op1_decontamination
 from .linededup import OP6_SQL, op6_line_dedup
 from .sharding import op4_sharding
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op4_sharding": op4_sharding,
     "op6_line_dedup": op6_line_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
     "op6_line_dedup": OP6_SQL,
 }
