@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Text bytes a kernel holds as Python or numpy objects at a time (a longer document is one slice).
 SLICE_BYTES = 1 << 20
@@ -42,6 +42,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def skew_join(rows: DataFrame, counted: DataFrame, keys: list[str], count: str, total: int, hot: int = 4096) -> DataFrame:
+    """Inner join of ``rows`` with ``counted`` (unique by ``keys``; ``count``: rows of each key, summing to ``total`` at most).
+
+    Keys with more than 1/hot of all rows, of which there are fewer than ``hot``, are joined by broadcast, so none gathers in a task.
+    """
+    big = F.broadcast(counted.filter(F.col(count) > total // hot))
+    rest = counted.filter(F.col(count) <= total // hot)
+    return rows.join(big, keys).unionByName(rows.join(big, keys, "left_anti").join(rest, keys))
+
+
 def only(df: DataFrame, *cols: str) -> DataFrame:
     """The named columns alone, so that extra columns of the input cannot clash with ours."""
     return df.select(*[df[c] for c in cols])
@@ -150,7 +160,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
     """Per document the sorted distinct hashes of its ``k``-word shingles.
 
-    With 1 to k-1 words: one hash, of the whole sequence; without words: none.
+    With 1 to k-1 words (k is 32 at most): one hash, of the whole sequence; without words: none.
     """
     out = []
     if len(words) >= k:
@@ -167,7 +177,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> list[np.ndar
             np.not_equal(s[1:], s[:-1], out=keep[1:])
             out.append(s[keep])
         elif b > a:
-            out.append(mix(np.array([(words[a:b] * _SHIFT[: b - a]).sum() + np.uint64(0xA5A5 + b - a) * _SHIFT[63]], np.uint64)))
+            out.append(mix((words[a:b] * _SHIFT[: b - a]).sum(keepdims=True) + _SHIFT[32 + b - a]))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -27,11 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import batch, binary, materialize, only, shared_dir, slices
+from ._common import batch, binary, materialize, only, shared_dir, skew_join, slices
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 4
-#: A line in more than 1/HOT of all rows is joined by broadcast; fewer than HOT lines can be.
-HOT = 4096
 
 _LINES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64())])
 
@@ -160,9 +158,7 @@ def _with_drops(docs: DataFrame, min_chars: int, min_docs: int, batches: int) ->
         runs.add(lines.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
     total = lines.count()
     repeated = runs.counts().filter(F.col("n_docs") >= min_docs)
-    very = F.col("n_docs") > F.lit(total // HOT)
-    # n_docs sums to the number of rows, so fewer than HOT lines are above 1/HOT of it: a proven bound for the broadcast
-    hit = lines.join(F.broadcast(repeated.filter(very)), ["h1", "h2"]).unionByName(lines.join(repeated.filter(~very), ["h1", "h2"]))
+    hit = skew_join(lines, repeated, ["h1", "h2"], "n_docs", total)
     gone = hit.filter(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).groupBy(F.col("doc_id").alias("drop_id")).agg(F.flatten(F.collect_list(F.array("h1", "h2"))).alias("digests"))  # no more than the lines of a document
     return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["drop_id"]), "left").drop("drop_id")
 
