@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import OP1_SQL, op1_decontamination
+from .jaccard import op9_ngram_jaccard_join
 from .linededup import OP6_SQL, op6_line_dedup
 from .sharding import op4_sharding
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op4_sharding": op4_sharding,
     "op6_line_dedup": op6_line_dedup,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
 SQL: dict[str, str] = {
