@@ -5,10 +5,12 @@ from __future__ import annotations
 from .decontamination import OP1_SQL, op1_decontamination
 from .jaccard import op9_ngram_jaccard_join
 from .linededup import OP6_SQL, op6_line_dedup
+from .quality_rules import op2_quality_rules
 from .sharding import op4_sharding
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_quality_rules": op2_quality_rules,
     "op4_sharding": op4_sharding,
     "op6_line_dedup": op6_line_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
