@@ -7,11 +7,13 @@ from .jaccard import op9_ngram_jaccard_join
 from .linededup import OP6_SQL, op6_line_dedup
 from .quality_rules import op2_quality_rules
 from .sharding import op4_sharding
+from .token_counts import op5_token_counts
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
     "op4_sharding": op4_sharding,
+    "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
