@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op10_bpe
 from .decontamination import OP1_SQL, op1_decontamination
 from .jaccard import op9_ngram_jaccard_join
 from .linededup import OP6_SQL, op6_line_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_bpe": op10_bpe,
 }
 
 SQL: dict[str, str] = {
