@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op10_bpe
 from .decontamination import OP1_SQL, op1_decontamination
 from .jaccard import op9_ngram_jaccard_join
+from .licenses import op3_license_scan
 from .linededup import OP6_SQL, op6_line_dedup
 from .quality_rules import op2_quality_rules
 from .sharding import op4_sharding
@@ -13,6 +14,7 @@ from .token_counts import op5_token_counts
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
+    "op3_license_scan": op3_license_scan,
     "op4_sharding": op4_sharding,
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
