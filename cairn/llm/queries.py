@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op10_bpe
 from .decontamination import OP1_SQL, op1_decontamination
 from .jaccard import op9_ngram_jaccard_join
+from .language import op7_language_id
 from .licenses import op3_license_scan
 from .linededup import OP6_SQL, op6_line_dedup
 from .quality_rules import op2_quality_rules
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
+    "op7_language_id": op7_language_id,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_bpe": op10_bpe,
 }
