@@ -8,6 +8,7 @@ from .jaccard import op9_ngram_jaccard_join
 from .language import op7_language_id
 from .licenses import op3_license_scan
 from .linededup import OP6_SQL, op6_line_dedup
+from .quality_cnn import op8_quality_classifier
 from .quality_rules import op2_quality_rules
 from .sharding import op4_sharding
 from .token_counts import op5_token_counts
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op7_language_id": op7_language_id,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_bpe": op10_bpe,
 }
