@@ -345,7 +345,7 @@ def version(build_json: ColumnOrName, directory: ColumnOrName, default: str = "u
 
 def expired(now: ColumnOrName, created: ColumnOrName, ttl_seconds: ColumnOrName | int) -> Column:
     ttl = F.lit(ttl_seconds) if isinstance(ttl_seconds, int) else col(ttl_seconds)
-    return F.unix_micros(col(now)) - F.unix_micros(col(created)) > ttl * 1_000_000
+    return F.unix_micros(col(now).cast("timestamp")) - F.unix_micros(col(created).cast("timestamp")) > ttl * 1_000_000
 
 
 def speed(n: ColumnOrName, seconds: ColumnOrName) -> Column:

@@ -78,7 +78,7 @@ def implementation_file(declarations: DataFrame, sources: DataFrame) -> DataFram
 
 def definition_lines(functions: DataFrame, lines: DataFrame) -> DataFrame:
     """name, file, line of the first line in its file that defines a function (``name(`` after a word, not ended by ``;``); 0 if none does."""
-    hit = functions.select("name", "file").distinct().join(lines, "file").filter(F.col("line").rlike(F.concat(F.lit(r"[\w>&*:]\s*\b"), F.col("name"), F.lit(r"\s*\([^;]*$"))))
+    hit = functions.select("name", "file").distinct().join(lines, "file").filter(F.regexp_like("line", F.concat(F.lit(r"[\w>&*:]\s*\b"), F.col("name"), F.lit(r"\s*\([^;]*$"))))
     first = hit.groupBy("name", "file").agg(F.min("line_number").alias("found"))
     return functions.select("name", "file").distinct().join(first, ["name", "file"], "left").select("name", "file", F.coalesce("found", F.lit(0)).alias("line_number"))
 

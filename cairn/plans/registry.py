@@ -1,4 +1,4 @@
-"""Every registered query of the source-code engine, with its DuckDB SQL."""
+"""Every registered query of the source-code engine, by operator id, with its DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -10,5 +10,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_type").count()
+    return QUERIES["AGG01_category_statistics"](spark, sf_dir)
+
+
+from . import q_relational, q_text, q_graph  # noqa: E402, F401  (they register)
