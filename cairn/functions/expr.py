@@ -181,7 +181,7 @@ def split_params(c: ColumnOrName) -> Column:
         out = F.when((x == ",") & (acc["depth"] == 0), F.concat(acc["out"], F.array(F.lit("")))).otherwise(F.concat(head, F.array(F.concat(last, x))))
         return F.struct(out.alias("out"), F.greatest(depth, F.lit(0)).alias("depth"))
 
-    return F.filter(F.transform(F.aggregate(chars, start, step, lambda acc: acc["out"]), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.aggregate(chars, start, step, lambda acc: acc["out"]), lambda x: F.trim(x)), lambda p: p != "")
 
 
 _PARAM = r"(?s)^(.*[\s&*>])\s*([A-Za-z_]\w*)\s*(?:\[\w*\])?\s*(?:=\s*(.*))?$"
@@ -344,7 +344,7 @@ def version(build_json: ColumnOrName, directory: ColumnOrName, default: str = "u
 
 
 def expired(now: ColumnOrName, created: ColumnOrName, ttl_seconds: ColumnOrName | int) -> Column:
-    ttl = F.lit(ttl_seconds) if isinstance(ttl_seconds, int) else col(ttl_seconds)
+    ttl = (F.lit(ttl_seconds) if isinstance(ttl_seconds, int) else col(ttl_seconds)).cast("long")
     return F.unix_micros(col(now).cast("timestamp")) - F.unix_micros(col(created).cast("timestamp")) > ttl * 1_000_000
 
 

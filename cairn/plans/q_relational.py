@@ -159,7 +159,7 @@ def _(s, d):
     return search.no_keywords(B.table(s, d, "events").select("event_type").distinct(), "event_type", ["click", "if", "for"], 4)
 
 
-@query("FLT17_ttl", "SELECT event_id FROM events WHERE epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts) <= 86400 * 1000000")
+@query("FLT17_ttl", "SELECT event_id FROM events WHERE epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts) <= 86400::BIGINT * 1000000")
 def _(s, d):
     e = B.table(s, d, "events")
     return e.crossJoin(e.agg(F.max("ts").alias("now"))).filter(~X.expired("now", "ts", 86400)).select("event_id")
@@ -253,7 +253,7 @@ def _(s, d):
 def _(s, d):
     p = B.table(s, d, "part").filter("p_partkey < 40").withColumn("rn", F.expr("row_number() OVER (ORDER BY p_partkey)"))
     ln = p.selectExpr("'f' AS file", "rn AS line_number", "CASE WHEN p_partkey % 3 = 0 THEN concat('void Fn', p_partkey, '(int a);') ELSE concat('void Fn', p_partkey, '(int a) {') END AS line")
-    return joins.definition_lines(p.selectExpr("concat('Fn', p_partkey) AS name", "'f' AS file"), ln).select("name", "file", F.col("line_number").cast("int").alias("line_number"))
+    return joins.definition_lines(p.selectExpr("concat('Fn', p_partkey) AS name", "'f' AS file"), ln).select("name", "file", F.col("line_number").cast("long").alias("line_number"))
 
 
 @query("JON12_class_node", f"{_C} SELECT name, module, line_number FROM classes WHERE name = 'Part12' ORDER BY is_uclass DESC, module, line_number LIMIT 1")
