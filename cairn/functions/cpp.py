@@ -28,10 +28,14 @@ _VOCABULARY = {"class": CLASS_FLAGS + ["BlueprintType"], "struct": CLASS_FLAGS,
 
 
 def split_params(text: str) -> list[str]:
-    """Splits at commas outside of any bracket; parts are stripped, empty ones dropped."""
-    out, depth, at = [], 0, 0
+    """Splits at commas outside of any bracket or string; parts are stripped, empty ones dropped."""
+    out, depth, at, quoted = [], 0, 0, False
     for i, c in enumerate(text):
-        if c in "<([{":
+        if c == '"' and text[i - 1 : i] != "\\":
+            quoted = not quoted
+        elif quoted:
+            continue
+        elif c in "<([{":
             depth += 1
         elif c in ">)]}" and not (c == ">" and text[i - 1 : i] == "-"):
             depth = max(0, depth - 1)

@@ -25,7 +25,7 @@ def descriptors(spark: SparkSession, root: str, roots: list[str] | None = None)
     f = _binary(spark, roots or root, DESCRIPTOR)
     absolute = plain_path()
     relative = F.regexp_replace(absolute, "^" + _quoted(root) + "/?", "")
-    out = f.select(X.module_name("path").alias("name"), X.category_of_path(relative).alias("category"), X.dirname(relative).alias("path"), X.dirname(absolute).alias("absolute_path"), F.sha2("content", 256).alias("file_hash"), F.col("length").alias("file_size"), F.col("modificationTime").alias("file_mtime"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    out = f.select(X.module_name("path").alias("name"), X.category_of_path(relative).alias("category"), X.dirname(relative).alias("path"), X.dirname(absolute).alias("absolute_path"), F.sha2("content", 256).alias("file_hash"), F.col("length").alias("file_size"), F.col("modificationTime").alias("file_mtime"), F.decode("content", "UTF-8").alias("text"))
     return out.orderBy("name", "path")
 
 
@@ -66,7 +66,7 @@ def not_generated(path: str = "path") -> Column:
 def sources(spark: SparkSession, roots: list[str] | str, glob: str = SOURCES) -> DataFrame:
     """path and text of source files, generated folders left out. Undecodable bytes are dropped."""
     f = _binary(spark, roots, glob).filter(not_generated())
-    return f.select(plain_path().alias("path"), F.translate(F.decode("content", F.lit("UTF-8")), "\ufffd", "").alias("text"))
+    return f.select(plain_path().alias("path"), F.translate(F.decode("content", "UTF-8"), "\ufffd", "").alias("text"))
 
 
 def test_sources(spark: SparkSession, roots: list[str] | str) -> DataFrame:
@@ -93,7 +93,15 @@ def metadata_map(kv: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, path: str) -> DataFrame | None:
-    """A stage's table, or None where it was not written."""
+    """A stage's table, or None where it was not written. The schema beside it, if any, is the table's."""
+    import json
     import os
 
-    return spark.read.parquet(path) if os.path.isfile(os.path.join(path.removeprefix("file://"), "_SUCCESS")) else None
+    from pyspark.sql.types import StructType
+
+    local = path.removeprefix("file://")
+    if not os.path.isfile(os.path.join(local, "_SUCCESS")):
+        return None
+    known = os.path.join(local, "_schema.json")
+    reader = spark.read.schema(StructType.fromJson(json.load(open(known, encoding="utf-8")))) if os.path.isfile(known) else spark.read
+    return reader.parquet(path)
