@@ -23,12 +23,12 @@ beyond the zone. The frequent tokens are sent to the tasks as a Bloom filter of
 bounded size: a false positive only makes a rare token frequent, for all
 documents alike, and keeps the result exact.
 
-Pairs are then cut by how many rare tokens they share in the prefixes (an exact
-bound, see ``_need``), and the rest verified on the whole sets. Combinations
-held by more than ``BLOCK`` classes are joined in blocks of that size, and pairs
-to verify are grouped by both sides' first tokens with at most ``BLOCK`` sets a
-side, so neither a hot combination nor a large group of near copies lies in one
-task.
+Pairs are then cut by how many signatures they share in the prefixes (an exact
+bound, see ``_need``), and the rest verified on the whole sets. Sets that need
+combinations are near copies of many others: connected ones meet in cells of at
+most ``BLOCK`` sets a side, where the shared signatures of all their pairs are
+counted in one matrix. Sets connected by pairs to verify meet in cells of about that
+size, too, so no large group of near copies lies in one task.
 
 Null or empty text: an empty set, linked with nothing, a component of its own.
 Rows that repeat a doc_id are documents of their own with the same id. A null
@@ -56,8 +56,8 @@ ZONE = 0.25
 BLOCK = 1024
 #: Bits of the Bloom filter at most (bytes in memory: an eighth).
 MAX_BITS = 1 << 29
-#: Ids broadcast to a scan at most; beyond, the scan is joined by shuffle.
-MAX_IDS = 2_000_000
+#: Sets to verify whose ids are broadcast to the scan at most; beyond, the scan is joined by shuffle.
+MAX_IDS = 500_000
 
 _NULL_ID = -(2**63)
 _ZONE = np.uint64(int(ZONE * 2**64))
@@ -247,100 +247,162 @@ _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("n
 
 
 def _pairs(t: Fraction):
-    """Pairs of similar size within each list of a partition; ``shared``: the rare tokens counted so far."""
+    """Pairs of similar size within each list of rare tokens of a partition, one side at least covered by them; ``shared``: the tokens counted."""
     num, den = t.numerator, t.denominator
 
-    def emit(cols):
-        key, side, ids, n, rare, combo = cols
-        order = np.lexsort((ids, key))
-        key, side, ids, n, rare, combo = (c[order] for c in (key, side, ids, n, rare, combo))
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        start = np.flatnonzero(new)
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        tab = pa.Table.from_batches(held)
+        key, ids, n, rare = (tab.column(c).to_numpy() for c in ("sig", "id", "n", "rare"))
+        del held, tab
+        order = np.argsort(key, kind="stable")
+        key, ids, n, rare = (c[order] for c in (key, ids, n, rare))
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(start, len(key)))
         reach = np.repeat(start + size, size) - np.arange(len(key)) - 1  # later rows of the same list
-        d, i = 1, np.arange(len(key))
+        i, d, acc = np.arange(len(key)), 1, []
         while True:
             i = i[reach[i] >= d]
             if not len(i):
-                return
+                break
             x, y = i, i + d
             d += 1
-            ok = (den * np.minimum(n[x], n[y]).astype(np.int64) >= num * np.maximum(n[x], n[y]).astype(np.int64)) & (ids[x] != ids[y]) & ((side[x] == 2) | (side[x] != side[y]))
-            if ok.any():
-                yield x[ok], y[ok], ids, n, rare, combo
+            ok = (den * np.minimum(n[x], n[y]).astype(np.int64) >= num * np.maximum(n[x], n[y]).astype(np.int64)) & (ids[x] != ids[y]) & ((rare[x] < 0) | (rare[y] < 0))
+            x, y = x[ok], y[ok]
+            swap = ids[x] > ids[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            acc.append(np.stack([x, y]))
+        if not acc:
+            return
+        x, y = np.concatenate(acc, axis=1)
+        order = np.lexsort((ids[y], ids[x]))
+        x, y = x[order], y[order]
+        new = np.concatenate([[True], (ids[x[1:]] != ids[x[:-1]]) | (ids[y[1:]] != ids[y[:-1]])])[: len(x)]
+        at = np.flatnonzero(new)
+        count = np.diff(np.append(at, len(x)))
+        x, y = x[at], y[at]
+        for a in range(0, len(x), 50_000):
+            p, q = x[a : a + 50_000], y[a : a + 50_000]
+            yield batch(_PAIR, [ids[p], ids[q], n[p], n[q], rare[p], rare[q], count[a : a + 50_000]])
+
+    return run
+
+
+def _cell_pairs(t: Fraction):
+    """Rows sorted by cell and signature: counts each pair's shared signatures in a matrix of the cell's sets, and yields the pairs with enough."""
+    num, den = t.numerator, t.denominator
+
+    def pairs(side, ids, n, sig):
+        members, at = np.unique(ids, return_index=True)
+        place = np.searchsorted(members, ids)
+        whole = side[0] == 2
+        count = np.zeros((len(members), len(members)), np.int32)
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        for a, b in zip(starts.tolist(), np.append(starts[1:], len(sig)).tolist()):
+            if b - a > 1:
+                m = place[a:b]
+                count[np.ix_(m, m)] += 1
+        x, y = np.nonzero(np.triu(count, 1))
+        nx, ny = n[at][x].astype(np.int64), n[at][y].astype(np.int64)
+        overlap = -(-num * (nx + ny) // (num + den))
+        need = np.minimum(*((m - -(-num * m // den) + 1) - (m - overlap) for m in (nx, ny)))
+        ok = (count[x, y] >= need) & (den * np.minimum(nx, ny) >= num * np.maximum(nx, ny))
+        if not whole:
+            ok &= side[at][x] != side[at][y]
+        return members[x[ok]], members[y[ok]]
 
     def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        tab = pa.Table.from_batches(held)
-        cols = [tab.column(c).to_numpy() for c in ("key", "side", "id", "n", "rare", "combo")]
-        del held, tab
-        acc, rows = [], 0
-
-        def flush():
-            m = np.concatenate(acc, axis=1)
-            m = m[:, np.lexsort((m[1], m[0]))]
-            new = np.concatenate([[True], (m[0, 1:] != m[0, :-1]) | (m[1, 1:] != m[1, :-1])])
-            s = np.flatnonzero(new)
-            return batch(_PAIR, [m[0, s], m[1, s], m[2, s].astype(np.int32), m[3, s].astype(np.int32), m[4, s].astype(np.int32), m[5, s].astype(np.int32), np.add.reduceat(m[6], s)])
-
-        for i, j, ids, n, rare, combo in emit(cols):
-            swap = ids[i] > ids[j]
-            x, y = np.where(swap, j, i), np.where(swap, i, j)
-            acc.append(np.stack([ids[x], ids[y], n[x], n[y], rare[x], rare[y], (~combo[x]).astype(np.int64)]))
-            rows += len(x)
-            if rows > 1_000_000:
-                yield flush()
-                acc, rows = [], 0
-        if acc:
-            yield flush()
+        held, cell = [], None
+
+        def done():
+            a, b = pairs(*(np.concatenate(c) for c in zip(*held)))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            cols = [rb.column(c).to_numpy() for c in range(5)]
+            key = cols[0]
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and key[a] != cell:
+                    yield done()
+                    held = []
+                cell = key[a]
+                held.append([c[a:b] for c in cols[1:]])
+        if held:
+            yield done()
 
     return run
 
 
+def _families(rows: DataFrame) -> DataFrame:
+    """id, family: sets connected by signatures, by the smallest id that a signature's sets have, until nothing changes."""
+    lists = materialize(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    total = rows.count()
+    edges = materialize(skew_join(rows.select("sig", "id"), lists, ["sig"], "c", total).select("sig", "id"))
+    labels = materialize(edges.select("id", F.col("id").alias("family")).distinct())
+    while True:
+        least = edges.join(labels, "id").groupBy("sig").agg(F.min("family").alias("least"), F.count(F.lit(1)).alias("c"))
+        near = skew_join(edges, least, ["sig"], "c", total).groupBy("id").agg(F.min("least").alias("least"))
+        new = materialize(labels.join(near, "id").select("id", F.col("family").alias("old"), F.least("family", "least").alias("family")))
+        labels = new.select("id", "family")
+        if not new.filter("old <> family").limit(1).count():
+            return labels
+
+
 def _candidates(index: DataFrame, t: Fraction) -> DataFrame:
-    # rare tokens are held by RARE classes at most; lists of combinations are counted and those above BLOCK split
-    single = index.filter(~F.col("combo")).select(F.col("sig").alias("key"), F.lit(2).cast("byte").alias("side"), "id", "n", "rare", "combo")
-    combos = index.filter("combo")
-    counts = combos.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    """Pairs (a, b) that share enough signatures."""
+    # where one side is covered by rare tokens alone: their lists hold RARE classes at most
+    pairs = index.filter("not combo").select("sig", "id", "n", "rare").repartition("sig").mapInArrow(_pairs(t), "a long, b long, na int, nb int, ra int, rb int, shared long")
+    pairs = pairs.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("na", "nb", "ra", "rb")], F.sum("shared").alias("shared"))
+    pairs = pairs.filter(F.col("shared") >= _need(t)).select("a", "b")
+    # where neither is: near copies by the hundred share most of their combinations, so their pairs are not emitted list by list;
+    # connected sets meet in cells of BLOCK sets a side, where shared signatures are counted at once
+    rows = materialize(index.filter("rare >= 0").select("sig", "id", "n"))
+    family = _families(rows)
+    size = family.groupBy("family").agg(F.count(F.lit(1)).alias("c"))
     parts = F.ceil(F.col("c") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
-    split = combos.join(counts, "sig").withColumn("parts", parts).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
+    member = skew_join(family, size, ["family"], "c", family.count()).select("id", "family", parts.alias("parts"), F.pmod(F.xxhash64("id", F.lit(1)), parts).cast("int").alias("mine"))
+    split = rows.join(member, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).cast("byte")
-    split = split.select(F.when(F.col("parts") == 1, F.col("sig")).otherwise(F.xxhash64("sig", lo, hi)).alias("key"), side.alias("side"), "id", "n", "rare", "combo")
-    pairs = single.unionByName(split).repartition("key").mapInArrow(_pairs(t), "a long, b long, na int, nb int, ra int, rb int, shared long")
-    pairs = pairs.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("na", "nb", "ra", "rb")], F.sum("shared").alias("shared"))
-    return pairs.filter(F.col("shared") >= _need(t)).select("a", "b")
+    split = split.select(F.xxhash64("family", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), side.alias("side"), "id", "n", "sig")
+    cells = split.repartition("cell").sortWithinPartitions("cell", "sig").mapInArrow(_cell_pairs(t), "a long, b long")
+    return pairs.unionByName(cells)
 
 
 def _need(t: Fraction):
-    """The rare tokens that two similar sets share in their prefixes at least.
+    """The rare tokens that two similar sets share in their prefixes at least, where one side is covered by rare tokens alone.
 
-    With overlap ``o`` needed, one set misses ``n - o`` of its tokens at most. A set covered by its rare tokens alone
-    (``r = e + 1`` of them) ends its prefix among the rare tokens; the prefix that ends first lies wholly
-    within the other's range, so all but ``n - o`` of its ``r`` are shared. If neither is so covered, each
-    has all its counted rare tokens in its prefix, and all but ``n - o`` of them are shared.
+    With overlap ``o`` needed, one set misses ``n - o`` of its tokens at most. The prefix that ends first lies wholly
+    within the other's range, so of its ``e + 1`` covered misses all but ``n - o`` are shared signatures. A set that is
+    covered by its rare tokens alone ends before one that is not.
     """
     overlap = F.ceil((F.col("na") + F.col("nb")).cast("long") * t.numerator / F.lit(t.numerator + t.denominator) - F.lit(1e-6))
-    need = {x: F.when(F.col(f"r{x}") < 0, -1 - F.col(f"r{x}")).otherwise(F.col(f"r{x}")) - (F.col(f"n{x}") - overlap) for x in "ab"}
+    need = {x: -1 - F.col(f"r{x}") - (F.col(f"n{x}") - overlap) for x in "ab"}
     a, b = F.col("ra") < 0, F.col("rb") < 0
-    return F.when(a & b, F.least(need["a"], need["b"])).when(a, need["a"]).when(b, need["b"]).otherwise(F.greatest(need["a"], need["b"]))
+    return F.when(a & b, F.least(need["a"], need["b"])).when(a, need["a"]).otherwise(need["b"])
 
 
 # ---------------------------------------------------------------- verification
 
-_FULL = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("first", pa.int64()), ("tokens", pa.binary())])
+_FULL = pa.schema([("id", pa.int64()), ("tokens", pa.binary())])
 
 
 def _full(k: int):
+    """id and whole set of the texts whose set has the hash wanted (another row of the same doc_id may have another text)."""
+
     def run(batches):
         for rb in batches:
-            for _, sets in doc_shingles(binary(rb.column(1)), k):
-                sets = [s for s in sets if len(s)]
-                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-                yield batch(_FULL, [h[:, 0], h[:, 1], [int(s[:1].view(np.int64)[0]) for s in sets], [s.tobytes() for s in sets]])
+            ids, h1, h2 = (rb.column(c).to_numpy() for c in (1, 2, 3))
+            for a, sets in doc_shingles(binary(rb.column(0)), k):
+                raws = [s.tobytes() for s in sets]
+                h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raws)), np.int64).reshape(-1, 2)
+                n = len(sets)
+                ok = np.flatnonzero((h[:, 0] == h1[a : a + n]) & (h[:, 1] == h2[a : a + n]))
+                yield batch(_FULL, [ids[a : a + n][ok], [raws[i] for i in ok]])
 
     return run
 
@@ -354,9 +416,9 @@ def _verify(t: Fraction):
         for rb in batches:
             a_out, b_out = [], []
             for at in range(0, rb.num_rows, 256):
-                for g1, g2, kind, a, b, toks in zip(*(rb.column(c).slice(at, 256).to_pylist() for c in range(6))):
-                    if (g1, g2) != group:
-                        group, sets = (g1, g2), {}
+                for g, kind, a, b, toks in zip(*(rb.column(c).slice(at, 256).to_pylist() for c in range(5))):
+                    if g != group:
+                        group, sets = g, {}
                     if kind == 0:
                         sets[a] = np.frombuffer(toks, np.uint64)
                         continue
@@ -373,23 +435,26 @@ def _verify(t: Fraction):
 
 
 def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """The pairs (a, b) that are similar. ``sets``: id, doc_id, h1, h2 of the classes' representatives."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = materialize(sets.join(ids, "id"))
-    key = F.coalesce("doc_id", F.lit(_NULL_ID))
-    keys = wanted.select(key.alias("key")).distinct()
-    keys = F.broadcast(keys) if wanted.count() <= MAX_IDS else keys
-    full = docs.join(keys, key == F.col("key"), "left_semi").mapInArrow(_full(k), "h1 long, h2 long, first long, tokens binary")
-    sets = materialize(full.join(wanted.select("id", "h1", "h2"), ["h1", "h2"]).select("id", "first", "tokens"))
-    size = sets.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    place = sets.select("id", "first").distinct().join(size, "first").select("id", F.xxhash64("first", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("cell"))
-    pa_, pb = place.select(F.col("id").alias("a"), F.col("cell").alias("ca")), place.select(F.col("id").alias("b"), F.col("cell").alias("cb"))
-    placed = materialize(pairs.join(pa_, "a").join(pb, "b").select(F.least("ca", "cb").alias("g1"), F.greatest("ca", "cb").alias("g2"), "a", "b"))
-    members = placed.select("g1", "g2", F.explode(F.array("a", "b")).alias("id")).distinct()
+    """The pairs (a, b) that are similar. ``sets``: id, doc_id, h1, h2 of the classes' representatives.
+
+    Sets connected by pairs meet in one cell, or in cells of about BLOCK sets a side. Which cells a set goes to is known before
+    the scan that makes the sets, so each set is sent once, straight to its cell.
+    """
+    groups = components(pairs)
+    size = groups.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK))
+    place = materialize(skew_join(groups, size, ["component"], "c", groups.count()).select("id", F.xxhash64("component", part).alias("cell")))
+    ca, cb = place.select(F.col("id").alias("a"), F.col("cell").alias("ca")), place.select(F.col("id").alias("b"), F.col("cell").alias("cb"))
+    placed = materialize(pairs.join(ca, "a").join(cb, "b").select(F.xxhash64(F.least("ca", "cb"), F.greatest("ca", "cb")).alias("g"), "a", "b"))
+    members = placed.select("g", F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.collect_set("g").alias("gs"))
+    wanted = materialize(sets.join(members, "id").select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("key"), "id", "h1", "h2", "gs"))
+    wanted = F.broadcast(wanted) if wanted.count() <= MAX_IDS else wanted
+    where = wanted.select("key", "id", "h1", "h2")
+    full = docs.join(where, F.coalesce("doc_id", F.lit(_NULL_ID)) == F.col("key")).select("text", "id", "h1", "h2").mapInArrow(_full(k), "id long, tokens binary")
     none = F.lit(None)
-    rows = members.join(sets, "id").select("g1", "g2", F.lit(0).alias("kind"), F.col("id").alias("a"), none.cast("long").alias("b"), "tokens")
-    rows = rows.unionByName(placed.select("g1", "g2", F.lit(1).alias("kind"), "a", "b", none.cast("binary").alias("tokens")))
-    return materialize(rows.repartition("g1", "g2").sortWithinPartitions("g1", "g2", "kind").mapInArrow(_verify(t), "a long, b long"))
+    rows = full.join(wanted.select("id", "gs"), "id").select(F.explode("gs").alias("g"), F.lit(0).alias("kind"), F.col("id").alias("a"), none.cast("long").alias("b"), "tokens")
+    rows = rows.unionByName(placed.select("g", F.lit(1).alias("kind"), "a", "b", none.cast("binary").alias("tokens")))
+    return materialize(rows.repartition("g").sortWithinPartitions("g", "kind").mapInArrow(_verify(t), "a long, b long"))
 
 
 # ---------------------------------------------------------------- components
