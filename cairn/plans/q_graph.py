@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import expr as X
-from cairn.operators import graph, incremental, joins, shaping, stats
+from cairn.operators import graph, incremental, joins, shaping
 
 from . import bindings as B
 from .commands import Index
