@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .bpe import op10_bpe
 from .decontamination import OP1_SQL, op1_decontamination
-from .jaccard import op9_ngram_jaccard_join
+from .jaccard import OP9_SQL, op9_ngram_jaccard_join
 from .language import op7_language_id
 from .licenses import op3_license_scan
 from .linededup import OP6_SQL, op6_line_dedup
@@ -29,4 +29,5 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op9_ngram_jaccard_join": OP9_SQL,
 }
