@@ -95,16 +95,18 @@ class LineRuns:
                 fresh = fresh.join(r.hint("merge"), ["h1", "h2"], "left_anti")
             new = self._write(fresh)
             self.repeats.append(self._write(self.spark.table(own).join(self.spark.table(new).hint("merge"), ["h1", "h2"], "left_anti")))
-            self.spark.sql(f"DROP TABLE {own}")
+            self._forget([own])
         else:
             self.levels.append([])
         self.levels[0].append(new)
+        added = self.spark.table(new)
         self._compact()
-        return self.spark.table(new)
+        return added
 
     def _compact(self) -> None:
         if len(self.repeats) >= self.fanout:
-            self.repeats = [self._write(self._merged([self.spark.table(r) for r in self.repeats]))]
+            old, self.repeats = self.repeats, [self._write(self._merged([self.spark.table(r) for r in self.repeats]))]
+            self._forget(old)
         for k, level in enumerate(self.levels):
             if len(level) >= self.fanout:
                 merged = self._write(self._merged([self.spark.table(r) for r in level]))
@@ -112,6 +114,12 @@ class LineRuns:
                 if k + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[k + 1].append(merged)
+                self._forget(level)
+
+    def _forget(self, names: list[str]) -> None:
+        """Takes tables that a merge has replaced out of the catalog; their files go with the shared folder."""
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
