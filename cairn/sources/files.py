@@ -1,4 +1,4 @@
-"""Source trees as DataFrames. Readers list and read on the executors; predicates on paths come before any parsing."""
+"""Source trees as DataFrames. Readers list and read on the executors; predicates on paths come before any parsing. Files without a byte are not read."""
 
 from __future__ import annotations
 

@@ -27,7 +27,7 @@ def tree(tmp_path):
     put("Engine/Source/Runtime/Core/Intermediate/Gen.h", "class AGenerated {};\n")
     put("Engine/Plugins/FX/Spark/Source/Spark/Spark.Build.cs", 'PrivateDependencyModuleNames.Add("Core");')
     put("Engine/Plugins/FX/Spark/Source/Spark/Spark.h", "class ASpark : public UThing {};\n")
-    put("Engine/Source/Runtime/Base/Base.Build.cs", "")
+    put("Engine/Source/Runtime/Base/Base.Build.cs", "// nothing\n")
     return str(tmp_path / "My.Engine-5.3")
 
 
