@@ -2,17 +2,22 @@
 
 Each text gives a vector of transformed statistics. Per language and source the
 centre and scatter of the vectors are estimated by minimum covariance
-determinant: from a robust start, concentration steps (C-steps) take the ``h``
-rows of smallest Mahalanobis distance and estimate again from them. A row is
-rejected when its distance to the final, consistency-corrected estimate is beyond
-the cutoff, or its base rule failed.
+determinant: from a robust start, concentration steps (C-steps) take the half of
+the rows with the smallest Mahalanobis distance and estimate again from them. The
+consistency-corrected estimate is then reweighted: all rows within its 97.5 %
+ellipsoid make the final one. A row is rejected when its distance to that is
+beyond the cutoff, or its base rule failed.
+
+Half of the rows is the subset of highest breakdown: outliers are found up to a
+share of nearly one half of a group's usable rows. A group with more of them than
+that is described by them, and they are kept.
 
 Everything is computed over all rows. Each step is two aggregations with map-side
 combining over the statistics (some 100 bytes a document, written once to the shared
 folder); the estimates, 30 numbers a group, are joined back. Where there are more
 groups than ``MAX_GROUPS``, that join is a shuffle with salted keys, else a broadcast.
 Groups with fewer than ``MIN_ROWS`` usable rows are pooled by language, then all
-together; a pool still smaller rejects nothing by distance.
+together; a pool of fewer than ``MIN_ROWS // 2`` rejects nothing by distance.
 
 Rows whose base rule failed take no part in an estimate. Null or empty text: no
 words, so the base rule fails. Null lang or source is a value of its own. An
@@ -29,13 +34,15 @@ from ._common import batch, binary, materialize, only, slices
 
 SYMBOLS = b"#*$%&|<>"
 #: Rows of a group at least; rows that an estimate is made from, of all; C-steps.
-MIN_ROWS, SUBSET, STEPS = 200, 0.75, 4
+MIN_ROWS, SUBSET, STEPS = 200, 0.5, 4
 MAX_GROUPS, SALTS = 20_000, 64
 #: Mahalanobis distance squared beyond which a row is rejected: the chi-squared quantile with 5 degrees of freedom at 1 - 1e-9.
 CUTOFF = 52.0
 #: Standard deviations added to the scatter, by statistic, so that one that hardly varies (symbols in clean prose) doesn't reject trifles.
 FLOOR = (0.25, 0.12, 0.02, 0.1, 0.1)
 CHI2_MEDIAN = 4.351
+#: Reweighting: the chi-squared quantile at 97.5 %, and what the scatter of the rows within it is widened by (0.975 / the cdf with 7 degrees of freedom there).
+CHI2_NEAR, NEAR_SCALE = 12.833, 1.0555
 P = len(FLOOR)
 
 _STATS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_())] + [(f"x{i}", pa.float64()) for i in range(P)]
@@ -142,7 +149,7 @@ def _estimate(rows: DataFrame, scale) -> DataFrame:
 
 
 def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gs, g) and (g, n, centre, inverse): the groups and their minimum-covariance-determinant estimates."""
+    """(gs, g) and (g, centre, inverse, n): the groups, their minimum-covariance-determinant estimates and the rows they were made of."""
     groups = _groups(stats)
     rows = materialize(_attach(stats.filter(~F.col("base_failed")), groups, "gs").select("g", *[f"x{i}" for i in range(P)]))
     # the start: medians and median absolute deviations
@@ -158,7 +165,11 @@ def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     # consistency: the scatter of the subset is widened until the median distance is the chi-squared one
     near = _attach(rows, params.drop("n"), "g").withColumn("d2", _distance())
     cut = materialize(near.groupBy("g").agg(F.percentile_approx("d2", SUBSET, 1000).alias("cut"), F.greatest(one, F.percentile_approx("d2", 0.5, 1000) / CHI2_MEDIAN).alias("wide")))
-    return groups, _estimate(_attach(near.drop("centre", "inverse"), cut, "g").filter("d2 <= cut"), F.max("wide"))
+    params = _estimate(_attach(near.drop("centre", "inverse"), cut, "g").filter("d2 <= cut"), F.max("wide"))
+    # reweighting: every row near that estimate takes part in the final one
+    near = _attach(rows, params.drop("n"), "g").withColumn("d2", _distance()).filter(F.col("d2") <= CHI2_NEAR)
+    final = _estimate(near, F.lit(NEAR_SCALE)).drop("n")
+    return groups, materialize(final.join(mid.select("g", "n"), "g"))
 
 
 def judge(stats: DataFrame, groups: DataFrame, params: DataFrame) -> DataFrame:

@@ -209,3 +209,14 @@ def test_pipeline_keeps_what_its_stages_keep(spark, tmp_path):
     t = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
     got = {r.doc_id: list(r.ids) for r in pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {i: t.encode(x, add_special_tokens=False).ids for i, x in want.items()}
+
+
+@pytest.mark.parametrize("share", [0.3, 0.45])
+def test_quality_rules_reject_many_outliers(spark, share):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7)))
+    n_bad = int(400 * share)
+    good = [(i, " ".join(word() for _ in range(r.randint(60, 400))), "en", "s") for i in range(400 - n_bad)]
+    bad = [(1000 + i, " ".join(word() + r.choice(["###", "$$$", " |"]) for _ in range(r.randint(60, 400))), "en", "s") for i in range(n_bad)]
+    got = {x.doc_id: x.kept for x in qr.rate_documents(spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] for i, *_ in good) and not any(got[i] for i, *_ in bad)
