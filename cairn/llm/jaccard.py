@@ -82,8 +82,9 @@ def bands(n: int, t: Fraction) -> range:
 _SETS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("tokens", pa.binary())])
 
 
-def _sets(k: int, t: Fraction):
-    """Per document the set's size, its hash, and the tokens that a prefix can reach."""
+def _sets(k: int, t: Fraction, keep: list[str]):
+    """Per document the set's size, its hash, the tokens that a prefix can reach, and the columns ``keep``."""
+    schema = pa.schema([*_SETS, *((c, pa.int64()) for c in keep)])
 
     def run(batches):
         uid = TaskContext.get().partitionId() << 33
@@ -102,7 +103,7 @@ def _sets(k: int, t: Fraction):
                 h = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
                 own = np.arange(uid, uid + len(sets))
                 uid += len(sets)
-                yield batch(_SETS, [own, ids.slice(a, len(sets)), size, h[:, 0], h[:, 1], toks])
+                yield batch(schema, [own, ids.slice(a, len(sets)), size, h[:, 0], h[:, 1], toks, *(rb.column(i).slice(a, len(sets)) for i in range(2, rb.num_columns))])
 
     return run
 
@@ -477,12 +478,15 @@ def components(links: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- the operator
 
-def similar_documents(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """Per document: doc_id, n_shingles, n_similar (other documents at ``J >= threshold``), component_id (smallest doc_id reachable)."""
+def _components(docs: DataFrame, k: int, threshold: Fraction, keyed: bool) -> DataFrame:
+    """Per row: doc_id, n_shingles, n_similar, component_id; if ``keyed``, its text's t1 and t2 and first_key, the smallest key (doc_id, t1, t2) of its component (null without shingles)."""
     base = only(docs, "doc_id", "text")
-    sets = materialize(base.mapInArrow(_sets(k, threshold), "uid long, doc_id long, n long, h1 long, h2 long, tokens binary"))
-    classes = materialize(sets.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("uid").alias("id"), F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("size")))
-    reps = sets.join(classes.select("id"), sets["uid"] == F.col("id"), "left_semi").withColumnRenamed("uid", "id")
+    t = ["t1", "t2"] if keyed else []
+    least = lambda c, name: [F.min(c).alias(name)] if keyed else []
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *t)
+    sets = materialize(base.select("doc_id", "text", *(_text_key() if keyed else [])).mapInArrow(_sets(k, threshold, t), "uid long, doc_id long, n long, h1 long, h2 long, tokens binary" + "".join(f", {c} long" for c in t)))
+    classes = materialize(sets.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("uid").alias("id"), F.min("doc_id").alias("first_doc"), *least(own, "own_key"), F.count(F.lit(1)).alias("size")))
+    reps = sets.drop(*t).join(classes.select("id"), sets["uid"] == F.col("id"), "left_semi").withColumnRenamed("uid", "id")
     reps = materialize(reps.withColumn("n", F.col("n").cast("int")))
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(reps))
     index = materialize(reps.filter("length(tokens) > 0").select("id", "n", "tokens").mapInArrow(_index(frequent, threshold), "sig long, id long, n int, rare int, combo boolean"))
@@ -490,22 +494,49 @@ def similar_documents(docs: DataFrame, k: int = K, threshold: Fraction = THRESHO
     links = _links(base, reps.select("id", "doc_id", "h1", "h2"), pairs, k, threshold)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(classes.select(F.col("id").alias("b"), "size"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("size").alias("linked"))
-    comp = components(links).join(classes.select("id", "first_doc"), "id")
-    comp = comp.join(comp.groupBy("component").agg(F.min("first_doc").alias("least_doc")), "component").select("id", "least_doc")
-    classes = classes.join(degree, "id", "left").join(comp, "id", "left").select("h1", "h2", "n", "size", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_similar"), F.coalesce("least_doc", "first_doc").alias("component_id"))
-    rows = sets.select("doc_id", "n", "h1", "h2")
-    found = skew_join(rows.filter("n > 0"), classes, ["h1", "h2", "n"], "size", rows.count()).select("doc_id", "n", "n_similar", "component_id")
-    empty = rows.filter("n = 0").select("doc_id", "n", F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id"))
-    return found.unionByName(empty).withColumnRenamed("n", "n_shingles")
+    comp = components(links).join(classes.select("id", "first_doc", *["own_key"] * keyed), "id")
+    comp = comp.join(comp.groupBy("component").agg(F.min("first_doc").alias("least_doc"), *least("own_key", "least_key")), "component").select("id", "least_doc", *["least_key"] * keyed)
+    classes = classes.join(degree, "id", "left").join(comp, "id", "left").select("h1", "h2", "n", "size", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_similar"), F.coalesce("least_doc", "first_doc").alias("component_id"), *[F.coalesce("least_key", "own_key").alias("first_key") for _ in t[:1]])
+    rows = sets.select("doc_id", "n", "h1", "h2", *t)
+    found = skew_join(rows.filter("n > 0"), classes, ["h1", "h2", "n"], "size", rows.count()).select("doc_id", "n", "n_similar", "component_id", *t, *["first_key"] * keyed)
+    empty = rows.filter("n = 0").select("doc_id", "n", F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id"), *t)
+    return found.unionByName(empty, allowMissingColumns=True).withColumnRenamed("n", "n_shingles")
+
+
+def similar_documents(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """Per document: doc_id, n_shingles, n_similar (other documents at ``J >= threshold``), component_id (smallest doc_id reachable)."""
+    return _components(docs, k, threshold, False).select("doc_id", "n_shingles", "n_similar", "component_id")
+
+
+def _text_key() -> list[F.Column]:
+    """128 bits of the text, computed alike wherever it is read."""
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("key"), "text").alias("t2")]
+
+
+_KEY = ["doc_id", "t1", "t2"]
+_COLS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_similar(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """``docs`` (doc_id, text, lang, source, n_chars) with one document of each component: the one with the smallest doc_id.
+    """``docs`` (doc_id, text, lang, source, n_chars) with one row of each component: the one with the smallest doc_id.
 
-    A document whose doc_id is null or another row's is kept only as a component of its own.
+    Rows are told apart by doc_id and text. A null doc_id comes last; of one doc_id's texts in a component one stays, and
+    of rows that repeat both, one (with the smallest lang, source and n_chars). Rows without a word are components of their own.
     """
-    gone = similar_documents(docs, k, threshold).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return only(docs, "doc_id", "text", "lang", "source", "n_chars").join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    keys = _components(docs, k, threshold, True).filter("first_key is not null")
+    first = F.col("doc_id").eqNullSafe(F.col("first_key.doc_id")) & (F.col("t1") == F.col("first_key.t1")) & (F.col("t2") == F.col("first_key.t2"))
+    keys = materialize(keys.select(*_KEY, first.alias("first")).groupBy(*_KEY).agg(F.bool_or("first").alias("first"), F.count(F.lit(1)).alias("c")).filter("not first or c > 1"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["t1"] == b["t1"]) & (a["t2"] == b["t2"])
+    rows = only(docs, *_COLS).withColumns({c: e for c, e in zip(("t1", "t2"), _text_key())})
+    out = rows.join(keys, same(rows, keys), "left_anti").select(*_COLS)
+    repeated = keys.filter("first").select(*_KEY)
+    n = repeated.count()
+    if not n:
+        return out
+    # one of the rows that repeat a kept doc_id and text: combined map-side, however many there are
+    copies = rows.join(F.broadcast(repeated) if n <= MAX_IDS else repeated, same(rows, repeated), "left_semi")
+    one = copies.groupBy(*_KEY).agg(F.first("text").alias("text"), F.min(F.struct("lang", "source", "n_chars")).alias("least"))
+    return out.unionByName(one.select("doc_id", "text", "least.lang", "least.source", "least.n_chars"))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

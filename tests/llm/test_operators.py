@@ -220,3 +220,16 @@ def test_quality_rules_reject_many_outliers(spark, share):
     bad = [(1000 + i, " ".join(word() + r.choice(["###", "$$$", " |"]) for _ in range(r.randint(60, 400))), "en", "s") for i in range(n_bad)]
     got = {x.doc_id: x.kept for x in qr.rate_documents(spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string")).collect()}
     assert all(got[i] for i, *_ in good) and not any(got[i] for i, *_ in bad)
+
+
+def test_drop_similar_keeps_one_row_of_each_component(spark):
+    r = random.Random(8)
+    prose = [" ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(80)) for _ in range(6)]
+    rs = [(5, prose[0], "en", "s", 1)] * 3  # repeated rows
+    rs += [(None, prose[1], "en", "s", 1)] * 3 + [(None, prose[1] + " tail", "en", "s", 1)]  # no id at all
+    rs += [(1, prose[2], "en", "s", 1), (9, prose[2] + " tail", "en", "s", 1), (9, prose[3], "en", "s", 1)]  # one id, two texts
+    rs += [(None, prose[4], "en", "s", 1), (7, prose[4], None, "s", 1), (7, prose[4], "en", "s", 1), (None, None, None, None, None), (None, "", None, None, 0), (None, None, None, None, None)]
+    got = sorted(((x.doc_id, x.text) for x in jc.drop_similar(spark.createDataFrame(rs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)).collect()), key=str)
+    tails = [x for x in got if x[0] is None and x[1]]
+    assert len(tails) == 1 and tails[0][1].startswith(prose[1])
+    assert [x for x in got if x not in tails] == sorted([(5, prose[0]), (1, prose[2]), (9, prose[3]), (7, prose[4]), (None, None), (None, ""), (None, None)], key=str)
