@@ -91,7 +91,7 @@ RULES = [
 
 _WORD = re.compile(r"[a-z0-9]+")
 #: A text without any of these holds no known sentence and none that speaks of a licence.
-_TRIGGER = re.compile(rb"licen[sc]e|permission|software|redistribut|cc0|compliance|copy of the|distributed in the hope", re.I)
+_TRIGGER = re.compile(rb"licen[sc]e|permission|software|redistribut|cc0|compliance|copy[^a-z0-9]+of[^a-z0-9]+the|distributed[^a-z0-9]+in[^a-z0-9]+the[^a-z0-9]+hope|released[^a-z0-9]+under|under[^a-z0-9]+the[^a-z0-9]+terms", re.I)
 _SPEAKS = re.compile(r"licensed under|released under the|license identifier|licensed for|under the terms of")
 #: A sentence begins at a line's first word, or after one of these and white space.
 _BOUNDARY = re.compile(r"[\n.!?:;]")

@@ -194,3 +194,14 @@ def test_network_gradients_and_learning():
     net = cnn.Network().fit(good[:30] + bad[:30], np.array([1.0] * 30 + [0.0] * 30))
     p = net.score(good[30:] + bad[30:], net.table())
     assert (p[:10] > 0.5).all() and (p[10:] < 0.5).all()
+
+
+def test_license_trigger_loses_nothing():
+    lib = lc.Library()
+    for t in (b"Released under the GPL, version 2.", b"Use it under the terms of the AGPL.", b"Released  under the\tGPL"):
+        assert lc.scan(t, lib) == (0, 1, "", "", "unknown")
+    for forms in lc.SENTENCES.values():
+        for f in forms:
+            assert all(lc._TRIGGER.search(f.replace(" ", gap).encode()) for gap in ("\n", "\n * ", "  "))
+    for speaks in lc._SPEAKS.pattern.split("|"):
+        assert all(lc._TRIGGER.search(speaks.replace(" ", gap).encode()) for gap in (" ", "\n", ", ", "\n * "))
