@@ -1,8 +1,8 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
 Documents with equal texts form a group and stay together, unless the group is
-heavier than 1/SPLIT of a shard: that one is split into chunks (a group with a
-third of all rows cannot lie in one shard). All other
+heavier than 1/SPLIT of a shard in bytes, tokens or rows: that one is split into
+chunks (a group with a third of all rows cannot lie in one shard, even if it is of empty texts). All other
 groups and chunks are hashed into a fixed number of bundles, whose three-part
 weights are summed with map-side combining. Only those sums, at most
 ``n_shards * BUNDLES * LANES`` rows whatever the corpus, reach the driver, which places
@@ -29,7 +29,7 @@ from ._common import batch, binary, materialize, only, slices
 
 #: Bundles a shard is filled with on average.
 BUNDLES = 256
-#: A group above this part of a shard's bytes is split into chunks.
+#: A group above this part of a shard's bytes, tokens or rows is split into chunks.
 SPLIT = 8
 #: Each bundle is numbered in this many lanes, so that no sort holds a whole bundle.
 LANES = 4
@@ -75,11 +75,12 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, bundles: int = BUNDLES) -
     """doc_id, size, text_crc32, n_tokens (words), law (``bytes``), shard, slot (gapless from 0 in each shard), grown_shard (null)."""
     rows = materialize(only(docs, "doc_id", "text").mapInArrow(_weigh, "doc_id long, size long, text_crc32 long, n_tokens long, g1 long, g2 long, salt long"))
     n_bundles = n_shards * bundles
-    groups = rows.groupBy("g1", "g2").agg(F.sum("size").alias("group_size"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    share = max(1, total // (n_shards * SPLIT))
-    # sizes add up to the total, so at most n_shards * SPLIT groups are above the share: a proven bound for the broadcast
-    heavy = groups.filter((F.col("group_size") > share)).select("g1", "g2", F.ceil(F.col("group_size") / share).alias("chunks"))
+    weights = {"bytes": F.sum("size"), "tokens": F.sum("n_tokens"), "n_rows": F.count(F.lit(1))}
+    groups = rows.groupBy("g1", "g2").agg(*[w.alias(c) for c, w in weights.items()])
+    total = rows.agg(*[w.alias(c) for c, w in weights.items()]).first()
+    parts = F.greatest(*[F.col(c) / max(1, (total[c] or 0) // (n_shards * SPLIT)) for c in weights])
+    # each weight adds up to its total, so about 3 * n_shards * SPLIT groups at most are above a share: a proven bound for the broadcast
+    heavy = groups.filter(parts > 1).select("g1", "g2", F.ceil(parts).alias("chunks"))
     placed = rows.join(F.broadcast(heavy), ["g1", "g2"], "left").withColumn("chunk", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("salt"), F.col("chunks"))))
     placed = placed.withColumn("bundle", F.pmod(F.xxhash64("g1", "g2", "chunk"), F.lit(n_bundles)))
     placed = placed.withColumn("lane", F.pmod(F.xxhash64("salt"), F.lit(LANES)))

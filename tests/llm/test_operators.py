@@ -233,3 +233,13 @@ def test_drop_similar_keeps_one_row_of_each_component(spark):
     tails = [x for x in got if x[0] is None and x[1]]
     assert len(tails) == 1 and tails[0][1].startswith(prose[1])
     assert [x for x in got if x not in tails] == sorted([(5, prose[0]), (1, prose[2]), (9, prose[3]), (7, prose[4]), (None, None), (None, ""), (None, None)], key=str)
+
+
+def test_sharding_splits_groups_by_rows_and_tokens(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(20))
+    n = 4000
+    many = [(i, "" if i % 3 == 0 else "a b c d e f g h" if i % 3 == 1 and i % 5 == 0 else " ".join(word() for _ in range(30))) for i in range(n)]
+    got = sh.assign_shards(spark.createDataFrame(many, "doc_id long, text string"), n_shards=8).collect()
+    load = Counter(x.shard for x in got)
+    assert len(got) == n and max(load.values()) < 1.1 * n / 8
