@@ -1,7 +1,8 @@
 """Language identification with bit-sliced Bloom filters of n-grams.
 
 One Bloom filter a language, stored crosswise: position i of the table holds a
-bitmask with the bit of each language whose filter has i set. The masks at an
+bitmask with the bit of each language whose filter has i set (beyond 64 languages,
+in several words, 16 MB for each 64 languages). The masks at an
 n-gram's positions, and-ed, name all languages that contain it with one lookup.
 Each language's hits in a text are its bits' popcount, corrected by its filter's
 measured false-positive rate; the largest corrected count decides.
@@ -62,26 +63,30 @@ def _probes(g: np.ndarray) -> list[np.ndarray]:
 class Filters:
     def __init__(self, langs: list[str], members: list[np.ndarray], default: str | None):
         self.langs, self.default = langs, default
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(k).itemsize * 8 >= max(1, len(langs)))
-        self.table = np.zeros(1 << BITS, kind)
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(k).itemsize * 8 >= min(64, len(langs)))
+        self.width = np.dtype(kind).itemsize * 8
+        self.tables = [np.zeros(1 << BITS, kind) for _ in range(max(1, -(-len(langs) // self.width)))]
         for l, g in enumerate(members):
             for p in _probes(g):
-                self.table[p] |= kind(1 << l)
-        fill = [float(((self.table >> kind(l)) & kind(1)).mean()) for l in range(len(langs))]
+                self.tables[l // self.width][p] |= kind(1 << l % self.width)
+        fill = [float(self._bit(self.tables, l).mean()) for l in range(len(langs))]
         self.wrong = np.array([f**PROBES for f in fill])
 
+    def _bit(self, words: list[np.ndarray], l: int) -> np.ndarray:
+        w = words[l // self.width]
+        return (w >> w.dtype.type(l % self.width)) & w.dtype.type(1)
+
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
         g, ok, off = grams([t or b"" for t in texts])
         at = np.flatnonzero(ok)
         g = g[at]
         first = np.searchsorted(at, off)
-        mask = None
-        for p in _probes(g):
-            mask = self.table[p] if mask is None else mask & self.table[p]
+        at_probes = _probes(g)
+        masks = [np.bitwise_and.reduce([t[p] for p in at_probes]) for t in self.tables]
         n = np.diff(first)
         hits = np.zeros((len(texts), max(1, len(self.langs))))
         for l in range(len(self.langs)):
-            c = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(l)) & mask.dtype.type(1), dtype=np.int64)])
+            c = np.concatenate([[0], np.cumsum(self._bit(masks, l), dtype=np.int64)])
             count = c[first[1:]] - c[first[:-1]]
             hits[:, l] = np.maximum(0, (count - n * self.wrong[l]) / (1 - self.wrong[l]))
         best = hits.argmax(1)
@@ -127,17 +132,18 @@ def held_out(doc_id: str = "doc_id", parts: int = 3, rest: int = 1) -> F.Column:
 
 def fit(train: DataFrame, sample: int = SAMPLE) -> Filters:
     """Filters from ``train`` (doc_id, text, lang); about ``sample`` documents a language."""
-    sizes = {r.lang: r.n for r in train.filter("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
+    sizes = {r.lang: r.n for r in train.filter("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()}
     if not sizes:
         return Filters([], [], None)
-    rate = F.element_at(F.create_map(*[F.lit(x) for l, n in sizes.items() for x in (l, min(1.0, sample / n))]), F.col("lang"))
-    drawn = train.filter(F.col("lang").isin(list(sizes))).filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < rate * 1_000_000)
+    spark = train.sparkSession
+    rates = spark.createDataFrame([(l, min(1.0, sample / n)) for l, n in sizes.items()], "lang string, rate double")
+    drawn = train.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < F.col("rate") * 1_000_000)
     counts = drawn.select("text", "lang").mapInArrow(_count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
     total = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("c").alias("n")).collect()}
     if not total:
         return Filters([], [], None)
-    all_of = F.element_at(F.create_map(*[F.lit(x) for l, n in total.items() for x in (l, float(n))]), F.col("lang"))
-    parts = counts.withColumn("f", F.col("c") / all_of).filter(F.col("f") >= LEAST).toPandas()  # 1 / LEAST rows a language at most
+    all_of = spark.createDataFrame([(l, float(n)) for l, n in total.items()], "lang string, all_of double")
+    parts = counts.join(F.broadcast(all_of), "lang").withColumn("f", F.col("c") / F.col("all_of")).filter(F.col("f") >= LEAST).select("lang", "gram", "f").toPandas()  # 1 / LEAST rows a language at most
     parts["top"] = parts.groupby("gram")["f"].transform("max")
     parts = parts[parts["f"] >= SHARE * parts["top"]]
     langs = sorted(total)

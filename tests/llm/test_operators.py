@@ -243,3 +243,11 @@ def test_sharding_splits_groups_by_rows_and_tokens(spark):
     got = sh.assign_shards(spark.createDataFrame(many, "doc_id long, text string"), n_shards=8).collect()
     load = Counter(x.shard for x in got)
     assert len(got) == n and max(load.values()) < 1.1 * n / 8
+
+
+def test_every_language_is_learned(spark):
+    r = random.Random(2)
+    speak = [["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(4)] for _ in range(70)]
+    many = [(i, " ".join(r.choice(speak[i % 70]) for _ in range(20)), f"l{i % 70:02}") for i in range(1400)]
+    got = lg.identify_languages(spark.createDataFrame(many, "doc_id long, text string, lang string")).collect()
+    assert all(g.lang_pred == f"l{g.doc_id % 70:02}" for g in got)
