@@ -94,8 +94,14 @@ def dag(spark, d):
     return _part_edges(spark, d, _DAG)
 
 
+def whole_dag(spark, d):
+    """Acyclic over all orders, for queries without SQL."""
+    return _part_edges(spark, d, "nxt > l_partkey")
+
+
 def cyclic(spark, d):
-    return _part_edges(spark, d, _CYCLIC)
+    """All orders: the queries over it have no SQL."""
+    return _part_edges(spark, d, _ALL)
 
 
 CALLS, DAG, CYCLIC = _part_edges_sql("calls", _ALL), _part_edges_sql("dag", _DAG), _part_edges_sql("cyclic", _CYCLIC)

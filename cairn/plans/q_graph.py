@@ -82,7 +82,7 @@ def _(s, d):
 
 @query("GRF11_graph_statistics")
 def _(s, d):
-    return graph.statistics(B.parts(s, d), B.dag(s, d))
+    return graph.statistics(B.parts(s, d), B.whole_dag(s, d))
 
 
 @query("GRF11_isolates", f"WITH {B.DAG} SELECT p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT src FROM dag UNION SELECT dst FROM dag)")

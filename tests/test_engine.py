@@ -183,3 +183,34 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
+
+
+def test_graphs_without_sql_hold_all_orders(spark):
+    from cairn.plans import bindings as B
+    from cairn.plans.registry import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    orders = {}
+    for r in sorted(B.table(spark, d, "lineitem").collect(), key=lambda r: (r.l_linenumber, r.l_partkey, r.l_suppkey, r.l_extendedprice)):
+        orders.setdefault(r.l_orderkey, []).append(r.l_partkey)
+    edges = {e for p in orders.values() for e in zip(p, p[1:])}
+    pairs = lambda df: {(r.src, r.dst) for r in df.collect()}
+    assert pairs(B.cyclic(spark, d)) == edges and pairs(B.whole_dag(spark, d)) == {(a, b) for a, b in edges if b > a}
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+
+    def reach(x):
+        seen, todo = {x}, [x]
+        while todo:
+            new = out.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        return seen
+
+    to = {x: reach(x) for e in edges for x in e}
+    want = {frozenset(y for y in to[x] if x in to[y]) for x in to}
+    got = {}
+    for r in QUERIES["GRF17_strong_components"](spark, d).collect():
+        got.setdefault(r.component, set()).add(r.name)
+    assert {c for c in map(frozenset, got.values()) if len(c) > 1} == {c for c in want if len(c) > 1}
