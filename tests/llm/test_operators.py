@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from cairn.llm import bpe, decontamination as dc, jaccard as jc, language as lg, licenses as lc, linededup as ld, quality_cnn as cnn, quality_rules as qr, sharding as sh, token_counts as tc
@@ -139,14 +140,57 @@ def test_quality_rules(docs, none):
     assert qr.keep_good(docs).count() == sum(r.kept for r in got)
 
 
-def test_quality_rules_reject_outliers(spark, monkeypatch):
-    monkeypatch.setattr(qr, "MIN_ROWS", 50)
+def brute_mcd(x):
+    """Centre and scatter of the half with the smallest floored determinant, from many starts, by exact C-steps; then reweighted. Without the floor."""
+    ground, n = np.diag(np.square(qr.FLOOR)), len(x)
+    h = (n + qr.P + 1) // 2
+    dist = lambda c, m: np.einsum("ij,jk,ik->i", x - c, np.linalg.inv(m + ground), x - c)
+    of = lambda y: (y.mean(0), np.cov(y.T, bias=True))
+    r, best = np.random.default_rng(0), (np.inf, None)
+    mid = np.median(x, 0)
+    starts = [(mid, np.diag(np.square(1.4826 * np.median(abs(x - mid), 0))))] + [of(x[r.choice(n, qr.P + 1, replace=False)]) for _ in range(60)]
+    for e in starts:
+        for _ in range(30):
+            e = of(x[np.argsort(dist(*e), kind="stable")[:h]])
+        best = min(best, (np.linalg.slogdet(e[1] + ground)[1], e), key=lambda b: b[0])
+    c, m = best[1]
+    c, m = of(x[dist(c, m * qr.HALF_SCALE) <= qr.CHI2_NEAR])
+    return c, m * qr.NEAR_SCALE
+
+
+def test_quality_rules_equal_brute_force(spark):
+    """Estimates per source, drawn to language and all by the rows; distances and verdicts against exact C-steps."""
     r = random.Random(1)
+    word = lambda a, b: "".join(r.choice("abcdefghij") for _ in range(r.randint(a, b)))
+    out = []
+    for source, lang, n, lengths, junk in (("s", "en", 150, (3, 7), 60), ("t", "en", 200, (5, 9), 20), ("u", "de", 60, (6, 12), 20), ("v", "de", 12, (2, 6), 0), (None, None, 3, (3, 7), 0)):
+        for i in range(n):
+            mark = r.choice(["###", "$$$", " |"]) if i < junk else ""
+            out.append((len(out), " ".join(word(*lengths) + mark for _ in range(r.randint(60, 400))), lang, source))
+    out += [(len(out), "short text", "en", "s"), (len(out) + 1, None, "en", "t")]
+    got = {x.doc_id: x for x in qr.rate_documents(spark.createDataFrame(out, "doc_id long, text string, lang string, source string").repartition(5)).collect()}
+    n, chars, symbols, dup, rep, lines = np.array([qr.text_stats((t or "").encode()) for _, t, *_ in out]).T
+    x = np.stack([np.log1p(n), (chars + 250) / (n + 50), symbols / np.maximum(n, 1), dup / np.maximum(lines, 1), rep / np.maximum(n, 1)], 1)
+    good = (n >= 50) & (100 * rep <= 50 * n)
+    lang, source = np.array([str(o[2]) for o in out]), np.array([str(o[3]) for o in out])
+    for i, (doc, *_) in enumerate(out):
+        levels = [good, good & (lang == lang[i]), good & (lang == lang[i]) & (source == source[i])]
+        c, m = qr.blend([(int(k.sum()), brute_mcd(x[k]) if k.sum() > qr.LEAST else None) for k in levels]) if i < len(out) - 2 and i % 7 in (0, 3) else (None, None)
+        if c is not None:
+            d2 = (x[i] - c) @ np.linalg.inv(m + np.diag(np.square(qr.FLOOR))) @ (x[i] - c)
+            assert abs(np.log((got[doc].distance2 + 1) / (d2 + 1))) < 0.5 and got[doc].kept == (d2 <= qr.CUTOFF)
+        junk = any(c in (out[i][1] or "") for c in "#$|")
+        assert got[doc].kept == (bool(good[i]) and not junk)
+
+
+def test_quality_rules_groups_beyond_the_broadcast(spark, monkeypatch):
+    r = random.Random(2)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7)))
-    good = [(i, " ".join(word() for _ in range(r.randint(60, 400))), "en", "s") for i in range(150)]
-    bad = [(1000 + i, " ".join(word() + "###" for _ in range(r.randint(60, 400))), "en", "s") for i in range(20)]
-    got = {x.doc_id: x.kept for x in qr.rate_documents(spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string")).collect()}
-    assert all(got[i] for i, *_ in good) and not any(got[i] for i, *_ in bad)
+    out = [(i, " ".join(word() + ("###" if i % 9 == 0 else "") for _ in range(r.randint(60, 200))), "en", f"s{i % 4}") for i in range(200)]
+    df = spark.createDataFrame(out, "doc_id long, text string, lang string, source string")
+    want = sorted((x.doc_id, x.kept) for x in qr.rate_documents(df).collect())
+    monkeypatch.setattr(qr, "MAX_GROUPS", 1)
+    assert sorted((x.doc_id, x.kept) for x in qr.rate_documents(df).collect()) == want == [(i, i % 9 != 0) for i in range(200)]
 
 
 def test_licenses(docs, none):
