@@ -56,8 +56,10 @@ ZONE = 0.25
 BLOCK = 1024
 #: Bits of the Bloom filter at most (bytes in memory: an eighth).
 MAX_BITS = 1 << 29
-#: Sets to verify whose ids are broadcast to the scan at most; beyond, the scan is joined by shuffle.
+#: Rows kept once of those that repeat, whose keys are broadcast at most; beyond, they are joined by shuffle.
 MAX_IDS = 500_000
+#: 64-bit words of the ids, hashes and cells of the sets to verify that are broadcast to the scan at most (32 MB); beyond, the scan is joined by shuffle.
+MAX_WORDS = 4_000_000
 
 _NULL_ID = -(2**63)
 _ZONE = np.uint64(int(ZONE * 2**64))
@@ -389,21 +391,26 @@ def _need(t: Fraction):
 
 # ---------------------------------------------------------------- verification
 
-_FULL = pa.schema([("id", pa.int64()), ("tokens", pa.binary())])
+_FULL = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("tokens", pa.binary())])
 
 
 def _full(k: int):
-    """id and whole set of the texts whose set has the hash wanted (another row of the same doc_id may have another text)."""
+    """Hash and whole set of each text, equal sets once in a task."""
 
     def run(batches):
+        seen: set[bytes] = set()
         for rb in batches:
-            ids, h1, h2 = (rb.column(c).to_numpy() for c in (1, 2, 3))
-            for a, sets in doc_shingles(binary(rb.column(0)), k):
-                raws = [s.tobytes() for s in sets]
-                h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raws)), np.int64).reshape(-1, 2)
-                n = len(sets)
-                ok = np.flatnonzero((h[:, 0] == h1[a : a + n]) & (h[:, 1] == h2[a : a + n]))
-                yield batch(_FULL, [ids[a : a + n][ok], [raws[i] for i in ok]])
+            for _, sets in doc_shingles(binary(rb.column(0)), k):
+                raws, digests = [], []
+                for s in sets:
+                    data = s.tobytes()
+                    d = xxhash.xxh3_128_digest(data)
+                    if d not in seen:
+                        seen.add(d)
+                        raws.append(data)
+                        digests.append(d)
+                h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                yield batch(_FULL, [h[:, 0], h[:, 1], raws])
 
     return run
 
@@ -435,8 +442,8 @@ def _verify(t: Fraction):
     return run
 
 
-def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """The pairs (a, b) that are similar. ``sets``: id, doc_id, h1, h2 of the classes' representatives.
+def _links(docs: DataFrame, rows: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """The pairs (a, b) that are similar. ``rows``: doc_id of every row, ``sets``: id, doc_id, h1, h2 of the classes' representatives.
 
     Sets connected by pairs meet in one cell, or in cells of about BLOCK sets a side. Which cells a set goes to is known before
     the scan that makes the sets, so each set is sent once, straight to its cell.
@@ -448,14 +455,20 @@ def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, t: Fracti
     ca, cb = place.select(F.col("id").alias("a"), F.col("cell").alias("ca")), place.select(F.col("id").alias("b"), F.col("cell").alias("cb"))
     placed = materialize(pairs.join(ca, "a").join(cb, "b").select(F.xxhash64(F.least("ca", "cb"), F.greatest("ca", "cb")).alias("g"), "a", "b"))
     members = placed.select("g", F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.collect_set("g").alias("gs"))
-    wanted = materialize(sets.join(members, "id").select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("key"), "id", "h1", "h2", "gs"))
-    wanted = F.broadcast(wanted) if wanted.count() <= MAX_IDS else wanted
-    where = wanted.select("key", "id", "h1", "h2")
-    full = docs.join(where, F.coalesce("doc_id", F.lit(_NULL_ID)) == F.col("key")).select("text", "id", "h1", "h2").mapInArrow(_full(k), "id long, tokens binary")
+    key = F.coalesce("doc_id", F.lit(_NULL_ID))
+    wanted = materialize(sets.join(members, "id").select(key.alias("key"), "id", "h1", "h2", "gs"))
+    size = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("gs")), F.lit(0)).alias("cells")).first()
+    small = size.n * 5 + size.cells <= MAX_WORDS
+    # the rows that have a wanted doc_id: each once, however often the id is repeated or null
+    keys = rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("rows_of")).join(wanted.select("key").distinct(), "key", "left_semi")
+    base = docs.select("text", key.alias("key"))
+    base = base.join(F.broadcast(wanted.select("key").distinct()), "key", "left_semi") if small else skew_join(base, keys, ["key"], "rows_of", rows.count())
+    # another row of the same doc_id may have another text: the set's hash decides
+    full = base.select("text").mapInArrow(_full(k), "h1 long, h2 long, tokens binary").join(F.broadcast(wanted) if small else wanted, ["h1", "h2"])
     none = F.lit(None)
-    rows = full.join(wanted.select("id", "gs"), "id").select(F.explode("gs").alias("g"), F.lit(0).alias("kind"), F.col("id").alias("a"), none.cast("long").alias("b"), "tokens")
-    rows = rows.unionByName(placed.select("g", F.lit(1).alias("kind"), "a", "b", none.cast("binary").alias("tokens")))
-    return materialize(rows.repartition("g").sortWithinPartitions("g", "kind").mapInArrow(_verify(t), "a long, b long"))
+    meet = full.select(F.explode("gs").alias("g"), F.lit(0).alias("kind"), F.col("id").alias("a"), none.cast("long").alias("b"), "tokens")
+    meet = meet.unionByName(placed.select("g", F.lit(1).alias("kind"), "a", "b", none.cast("binary").alias("tokens")))
+    return materialize(meet.repartition("g").sortWithinPartitions("g", "kind").mapInArrow(_verify(t), "a long, b long"))
 
 
 # ---------------------------------------------------------------- components
@@ -491,7 +504,7 @@ def _components(docs: DataFrame, k: int, threshold: Fraction, keyed: bool) -> Da
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(reps))
     index = materialize(reps.filter("length(tokens) > 0").select("id", "n", "tokens").mapInArrow(_index(frequent, threshold), "sig long, id long, n int, rare int, combo boolean"))
     pairs = materialize(_candidates(index, threshold))
-    links = _links(base, reps.select("id", "doc_id", "h1", "h2"), pairs, k, threshold)
+    links = _links(base, sets.select("doc_id"), reps.select("id", "doc_id", "h1", "h2"), pairs, k, threshold)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(classes.select(F.col("id").alias("b"), "size"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("size").alias("linked"))
     comp = components(links).join(classes.select("id", "first_doc", *["own_key"] * keyed), "id")

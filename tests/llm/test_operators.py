@@ -122,6 +122,34 @@ def test_jaccard_families_beyond_a_block(spark, monkeypatch):
     assert Counter(keyed(got)) == brute_similar(out)
 
 
+@pytest.mark.parametrize("words", [jc.MAX_WORDS, 0])
+def test_jaccard_null_and_repeated_ids(spark, monkeypatch, words):
+    """Near copies under one id or none, by broadcast and by shuffle: each set is made once, whatever its row's id."""
+    monkeypatch.setattr(jc, "MAX_WORDS", words)
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    base = [[word() for _ in range(60)] for _ in range(12)]
+    out = []
+    for i in range(240):
+        w = list(base[i % 12])
+        if i % 5:
+            w[r.choice((0, 59))] = word()
+        out.append((None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join(w)))
+    df = spark.createDataFrame(out, "doc_id long, text string").repartition(3)
+    assert Counter(keyed(jc.similar_documents(df))) == brute_similar(out)
+    made = df.select("text").mapInArrow(jc._full(5), "h1 long, h2 long, tokens binary").count()
+    assert made <= 3 * len({t for _, t in out})
+
+
+def test_drop_similar_loses_no_text(spark):
+    r = random.Random(12)
+    texts = {c: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for c in "ABCD"}
+    rs = [(1, "A"), (None, "A"), (None, "A"), (5, "B"), (5, "B"), (3, "C"), (7, "C"), (7, "D"), (9, "D")]
+    df = spark.createDataFrame([(i, texts[c], "en", "s", 1) for i, c in rs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted((x.doc_id, next(c for c in texts if texts[c] == x.text)) for x in jc.drop_similar(df).collect())
+    assert got == [(1, "A"), (3, "C"), (5, "B"), (7, "D")]
+
+
 def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame([(7, ITEM.upper()), (8, None), (None, "same same"), (9, "")], BENCH)
     assert sorted(((r.doc_id, r.item_id) for r in dc.find_items(docs, bench).collect()), key=str) == [(13, 7), (16, None)]
