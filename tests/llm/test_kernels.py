@@ -147,7 +147,7 @@ def test_license_rules():
     assert lc.scan(b"", lib) == lc.scan(b"plain", lib) == (0, 0, "", "", "none")
     bsd2 = ". ".join(lc.SENTENCES[k][0] for k in ("bsd-grant", "bsd-source", "bsd-binary"))
     assert lc.scan(bsd2.encode(), lib)[3] == "BSD-2-Clause"
-    assert lc.scan((bsd2 + " " + lc.SENTENCES["bsd-names"][0]).encode(), lib)[3] == "BSD-3-Clause"
+    assert lc.scan((bsd2 + " " + lc.SENTENCES["bsd-names"][0].replace("...", "the copyright holder")).encode(), lib)[3] == "BSD-3-Clause"
 
 
 def test_language_filters():
@@ -198,7 +198,7 @@ def test_network_gradients_and_learning():
 
 def test_license_trigger_loses_nothing():
     lib = lc.Library()
-    for t in (b"Released under the GPL, version 2.", b"Use it under the terms of the AGPL.", b"Released  under the\tGPL"):
+    for t in (b"Released under the FPL, version 2.", b"Use it under the terms of the AGPL.", b"Released  under the\tGPL"):
         assert lc.scan(t, lib) == (0, 1, "", "", "unknown")
     for forms in lc.SENTENCES.values():
         for f in forms:

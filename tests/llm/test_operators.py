@@ -226,6 +226,98 @@ def test_licenses(docs, none):
     assert got[14].licenses == "MIT" and got[0].category == "none" and lc.scan_licenses(none).count() == 0
 
 
+NOTICES = [
+    "The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n" + lc.SENTENCES["mit-grant"][0] + "\n" + lc.SENTENCES["mit-notice"][0] + "\n" + lc.SENTENCES["as-is-software"][0] + " " + lc.SENTENCES["no-liability"][0],
+    "Apache License\n   Version 2.0, January 2004\n   http://www.apache.org/licenses/\n\n TERMS AND CONDITIONS FOR USE,\n REPRODUCTION, AND DISTRIBUTION",
+    "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n" + lc.SENTENCES["gpl-verbatim"][0],
+    "Copyright\n\n" + "\n * ".join(lc.SENTENCES[x][0].replace(" and ", "\n and ") for x in ("bsd-grant", "bsd-source", "bsd-binary")) + "\n * Neither the name of Acme Widgets Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "// SPDX-License-Identifier: MPL-2.0\nint main;",
+    "Licensed under the Apache License, Version 2.0, see LICENSE.",
+    "License: MIT",
+    "See the GNU General Public License for more details.",
+    "The MIT License differs from many others.",
+    "MIT License plates are issued in Boston.",
+    "An MIT License", "Released under the Foo License. Released\nunder the\nGPL v3.", "RELEASED UNDER THE MIT LICENSE", "Dies ist unter einer Lizenz.", lc.SENTENCES["bsd-names"][0].replace("...", "x " * 13),
+]
+ANSWERS = ["MIT", "Apache-2.0", "GPL-2.0-only", "BSD-3-Clause", "GPL-3.0-or-later", "MPL-2.0", "Apache-2.0", "MIT", "GPL", "", "", "", "GPL-3.0-only", "MIT", "", ""]
+
+
+def brute_scan(text):
+    """Every known sentence at every beginning by a regular expression over words with marks of what follows them; rules by trying all."""
+    import re
+
+    low = text.lower()
+    at = [(m.start(), m.end()) for m in re.finditer("[a-z0-9]+", low)]
+    stream, begins = "", []
+    for k, (a, b) in enumerate(at):
+        before = low[at[k - 1][1] : a] if k else "\n"
+        if re.search(r"[\n.!?:;]", before):
+            begins.append(len(stream))
+        after = low[b : at[k + 1][0]] if k + 1 < len(at) else "\n"
+        stream += low[a:b] + ("!" if re.search(r"[\n.!?:;]", after) else "," if re.search(r"""[,()\[\]"'<>|*]""", after) else "") + " "
+    ids, unknown, upto = [], 0, 0
+    for n, p in enumerate(begins):
+        if p < upto:
+            continue
+        best = None
+        for size, name, rx in FORMS:
+            m = rx.match(stream, p)
+            if m and (best is None or (-size, name) < best[:2]):
+                best = (-size, name, m.end())
+        if best:
+            ids.append(best[1])
+            upto = best[2]
+        else:
+            own = re.sub("[!,]", "", stream[p : begins[n + 1] if n + 1 < len(begins) else None])
+            unknown += any(x in own for x in ("licensed under", "released under the", "license identifier", "licensed for", "under the terms of"))
+    found, i = set(), 0
+    while i < len(ids):
+        fits = [r for r in lc.RULES if ids[i : i + len(r[2])] == list(r[2])]
+        if fits:
+            r = max(fits, key=lambda r: len(r[2]))
+            found.add(r[0])
+            i += len(r[2])
+        else:
+            unknown += 1
+            i += 1
+    return len(ids), unknown, ",".join(ids), ",".join(sorted(found))
+
+
+def forms():
+    import re
+
+    out = []
+    for name, sentences in lc.SENTENCES.items():
+        end = "[!,] " if name in lc.CLAUSES else "! "
+        for s in sentences:
+            parts = [re.findall("[a-z0-9]+", p.lower()) for p in s.split("...")]
+            parts = [p for p in parts if p]
+            rx = r" (?:[a-z0-9]+[!,]? ){1,%d}?" % lc.GAP
+            rx = "".join(("" if k == 0 else r"[!,]?" + rx) + r"[!,]? ".join(p) for k, p in enumerate(parts)) + end
+            out.append((sum(map(len, parts)), name, re.compile(rx)))
+    return out
+
+
+FORMS = forms()
+
+
+def test_licenses_equal_brute_force(spark):
+    import os
+
+    import duckdb
+
+    r = random.Random(5)
+    texts = list(NOTICES) + ["\n".join(r.sample(NOTICES, 3)) for _ in range(12)] + [f"Prose. {x} And more prose" for x in NOTICES]
+    if os.path.isdir("/root/testdata/sf0.001"):
+        texts += [t for (t,) in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet' where regexp_matches(text, '(?i)licen|software|permission|released')").fetchall()]
+    got = {x.doc_id: x for x in lc.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].n_sentences, got[i].n_unknown, got[i].sentence_ids, got[i].licenses) == brute_scan(t), t[:200]
+    assert [got[i].licenses for i in range(len(NOTICES))] == ANSWERS
+    assert got[8].category == "copyleft" and got[9].category == got[10].category == "none" and got[15].category == "none"
+
+
 def test_tokens(docs, none):
     P, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
