@@ -415,3 +415,29 @@ def test_every_language_is_learned(spark):
     many = [(i, " ".join(r.choice(speak[i % 70]) for _ in range(20)), f"l{i % 70:02}") for i in range(1400)]
     got = lg.identify_languages(spark.createDataFrame(many, "doc_id long, text string, lang string")).collect()
     assert all(g.lang_pred == f"l{g.doc_id % 70:02}" for g in got)
+
+
+def test_sharding_keeps_groups_and_evens_bytes(spark):
+    """Equal texts lie in one shard where they fit, sizes are near equal, and the packing is the plain loop's."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    copies = [" ".join(word() for _ in range(40)) for _ in range(20)]
+    texts = [r.choice(copies) if i % 3 == 0 else " ".join(word() for _ in range(r.randint(1, 90))) for i in range(3000)] + ["x" * 3000] * 400  # the last: three shards' worth
+    got = sh.assign_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n_shards=10, bundles=64).collect()
+    where, load, slots = defaultdict(set), Counter(), defaultdict(list)
+    for x in got:
+        where[texts[x.doc_id]].add(x.shard)
+        load[x.shard] += x["size"]
+        slots[x.shard].append(x.slot)
+    assert len(got) == len(texts) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert all(len(v) == 1 for t, v in where.items() if t[0] != "x") and len(where["x" * 3000]) > 1
+    assert max(load.values()) < 1.02 * sum(load.values()) / 10 and min(load.values()) > 0.98 * sum(load.values()) / 10
+    w = np.random.default_rng(3).gamma(1.0, 1.0, (200, 3))
+    unit, left, want = w / (w.sum(0) / 7), np.ones((7, 3)), [0] * 200
+    for i in sorted(range(200), key=lambda i: (-unit[i].sum(), i)):
+        want[i] = max(range(7), key=lambda k: (sum(left[k] * unit[i]), -k))
+        left[want[i]] -= unit[i]
+    assert sh.pack(w, 7).tolist() == want
+    moved = sh.even_out(w, np.array(want), 7)
+    spread = lambda s: np.ptp(np.bincount(s, w[:, 0], 7))
+    assert spread(moved) <= spread(np.array(want)) and len(moved) == 200
