@@ -1,8 +1,8 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
 Documents with equal texts form a group and stay together, unless the group is
-larger than a whole shard in bytes, tokens or rows: that one is split into as many
-chunks as it needs (a group with a third of all rows cannot lie in one shard, even if it
+larger than a whole shard in bytes, tokens or rows: that one is split into chunks of about
+1/SPLIT of a shard (a group with a third of all rows cannot lie in one shard, even if it
 is of empty texts). Groups of more than 1/OWN of a shard, and chunks, are items of
 their own; all others are hashed into a fixed number of bundles. The items' three-part
 weights are summed with map-side combining. Only those sums, at most some
@@ -35,6 +35,8 @@ from ._common import batch, binary, materialize, only, slices
 BUNDLES = 256
 #: A group above this part of a shard's bytes, tokens or rows is an item of its own.
 OWN = 64
+#: A group that no shard holds is split into chunks of this part of a shard.
+SPLIT = 8
 #: Each bundle is numbered in this many lanes, so that no sort holds a whole bundle.
 LANES = 4
 #: How much bytes, tokens and rows weigh when items are moved, and moves at most for each shard.
@@ -117,7 +119,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, bundles: int = BUNDLES) -
     total = rows.agg(*[w.alias(c) for c, w in weights.items()]).first()
     parts = F.greatest(*[F.col(c) / max(1.0, (total[c] or 0) / n_shards) for c in weights])
     # each weight adds up to its total, so 3 * n_shards * OWN groups at most are above the part: a proven bound for the broadcast
-    heavy = groups.filter(parts > 1 / OWN).select("g1", "g2", F.ceil(parts).alias("chunks"), F.ceil(parts * bundles / F.ceil(parts)).alias("lanes"))
+    heavy = groups.filter(parts > 1 / OWN).withColumn("chunks", F.when(parts > 1, F.ceil(parts * SPLIT)).otherwise(1)).select("g1", "g2", "chunks", F.ceil(parts * bundles / F.col("chunks")).alias("lanes"))
     placed = rows.join(F.broadcast(heavy), ["g1", "g2"], "left").withColumn("chunk", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("salt"), F.col("chunks"))))
     of_its_own = -1 - F.pmod(F.xxhash64("g1", "g2", "chunk"), F.lit(1 << 62))
     placed = placed.withColumn("bundle", F.when(F.col("chunks").isNull(), F.pmod(F.xxhash64("g1", "g2"), F.lit(n_bundles))).otherwise(of_its_own))
