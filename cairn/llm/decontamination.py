@@ -4,18 +4,24 @@ A document of 20,000 words and a test item of 30 have a Jaccard similarity near
 zero, so sketches of documents cannot find it. The sketches here are the items':
 items are partitioned by their number of distinct word shingles, sizes of 2**c to
 2**(c+1)-1 in one partition, and each partition has its own sketch length, the
-``(1 - threshold) * 2**(c+1) + MARGIN`` smallest hashes of an item (its bottom
-MinHash sketch). A document that contains at least ``threshold`` of an item's
+``(1 - threshold) * 2**(c+1) + MARGIN`` first hashes of an item (its bottom
+MinHash sketch) in an order that puts shingles of few items before those of many, and
+then goes by hash: a template that all items share is in no sketch, unless an item
+is little else. A document that contains at least ``threshold`` of an item's
 shingles misses at most ``size - ceil(threshold * size)`` of them, so it holds
 all but that many of the sketch: this bound loses nothing. Candidates are
-verified by exact containment of the whole shingle sets.
+verified by exact containment of the whole shingle sets. Items with equal sets are
+one entry.
 
-The index of items is broadcast in blocks of at most ``BLOCK`` shingle hashes;
-documents are scanned once for each block and never shuffled.
+The index of items is broadcast in blocks of at most ``BLOCK`` shingle hashes (and one
+item), one after the other: a block's broadcast is taken back when its scan has been
+written, so however large the benchmark, one block is in memory. Documents are scanned
+once for each block (one block is 4 million words of items) and never shuffled.
 
 Items with fewer than ``k`` words are searched by shingles of their own length.
 Items or documents without words or text match nothing. Repeated rows match each
-on its own; null ids stay null. Empty tables give an empty result.
+on its own; null ids stay null. Empty tables give an empty result. Extra columns of any
+name are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import batch, binary, mix, only, raw, slices, word_hashes, _SHIFT
+from ._common import batch, binary, materialize, mix, only, raw, slices, word_hashes, _SHIFT
 
 K, THRESHOLD, MARGIN, BLOCK = 5, Fraction(4, 5), 4, 4_000_000
 
@@ -47,8 +53,10 @@ class Index:
     """Items' shingle sets and, by shingle length, their sketches as sorted (hash, item) arrays behind a bitmap."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], k: int, threshold: Fraction):
-        self.ids, self.sets, self.least, self.length = [], [], [], []
-        parts: dict[int, list[tuple[np.ndarray, int]]] = {}
+        self.ids: list[list[int | None]] = []
+        self.sets, self.least, self.length = [], [], []
+        known: dict[tuple[int, bytes], int] = {}
+        by_length: dict[int, list[int]] = {}
         for item_id, text in items:
             data = np.frombuffer((text or "").encode(), np.uint8)
             words, _ = word_hashes(data, np.array([0, len(data)]))
@@ -56,20 +64,30 @@ class Index:
                 continue
             n = min(k, len(words))
             own = np.unique(_grams(words, n))
-            size = len(own)
-            upper = 1 << size.bit_length()  # the size partition's end
-            sketch = own[: min(size, floor((1 - threshold) * upper) + MARGIN)]
-            missing = size - ceil(threshold * size)
-            parts.setdefault(n, []).append((sketch, len(self.ids)))
-            self.ids.append(item_id)
+            i = known.setdefault((n, own.tobytes()), len(self.ids))
+            if i < len(self.ids):
+                self.ids[i].append(item_id)
+                continue
+            by_length.setdefault(n, []).append(i)
+            self.ids.append([item_id])
             self.sets.append(own)
-            self.least.append(max(1, len(sketch) - missing))
             self.length.append(n)
         self.needed = [ceil(threshold * len(s)) for s in self.sets]
+        self.least = [0] * len(self.sets)
         self.parts = {}
-        for n, rows in parts.items():
-            h = np.concatenate([s for s, _ in rows])
-            item = np.repeat([i for _, i in rows], [len(s) for s, _ in rows])
+        for n, members in by_length.items():
+            all_hashes, count = np.unique(np.concatenate([self.sets[i] for i in members]), return_counts=True)
+            h, item = [], []
+            for i in members:
+                own = self.sets[i]
+                size = len(own)
+                upper = 1 << size.bit_length()  # the size partition's end
+                spread = np.log2(count[np.searchsorted(all_hashes, own)]).astype(np.int64)
+                sketch = own[np.lexsort((own, spread))[: min(size, floor((1 - threshold) * upper) + MARGIN)]]
+                self.least[i] = max(1, len(sketch) - (size - self.needed[i]))
+                h.append(sketch)
+                item.append(np.full(len(sketch), i))
+            h, item = np.concatenate(h), np.concatenate(item)
             order = np.argsort(h, kind="stable")
             bits = max(16, min(26, int(64 * len(h)).bit_length()))
             seen = np.zeros(1 << bits, bool)
@@ -77,7 +95,7 @@ class Index:
             self.parts[n] = (h[order], item[order], seen, np.uint64(64 - bits))
 
     def matches(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(document's place, item's place, shared shingles) of each match in documents laid end to end."""
+        """(document's place, entry's place, shared shingles) of each match in documents laid end to end."""
         for n, (keys, item, seen, shift) in self.parts.items():
             h = _grams(words, n)
             at = np.flatnonzero(seen[(h >> shift).astype(np.int64)])
@@ -127,9 +145,9 @@ def _search(index):
             ids, text = rb.column(0), binary(rb.column(1))
             for a, b in slices(text):
                 data, off = raw(text.slice(a, b - a))
-                found = list(ix.matches(*word_hashes(data, off)))
+                found = [(d, item, len(ix.sets[i]), s) for d, i, s in ix.matches(*word_hashes(data, off)) for item in ix.ids[i]]
                 own = ids.slice(a, b - a)
-                yield batch(_OUT, [own.take(pa.array([d for d, _, _ in found], pa.int64())), [ix.ids[i] for _, i, _ in found], [len(ix.sets[i]) for _, i, _ in found], [s for _, _, s in found]])
+                yield batch(_OUT, [own.take(pa.array([x[0] for x in found], pa.int64())), *([x[c] for x in found] for c in (1, 2, 3))])
 
     return run
 
@@ -148,22 +166,40 @@ def _keep(index):
     return run
 
 
+def _scan_blocks(benchmark: DataFrame, k: int, threshold: Fraction, scan) -> DataFrame | None:
+    """``scan(broadcast index)`` of each block: lazily where there is one block, else each written, and its broadcast taken back, before the next."""
+    spark, out, last = benchmark.sparkSession, [], None
+    for rows in _blocks(benchmark):
+        if last is not None:
+            out.append(materialize(scan(last)))
+            last.destroy()
+        last = spark.sparkContext.broadcast(Index(rows, k, threshold))
+    if last is None:
+        return None
+    df = scan(last)
+    for part in out:
+        df = df.unionByName(part)
+    return df
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFrame:
     """doc_id, item_id, n_item_shingles, n_shared, containment of each item that a document holds to ``threshold`` or more."""
-    spark, base, out = docs.sparkSession, only(docs, "doc_id", "text"), None
-    for rows in _blocks(benchmark):
-        part = base.mapInArrow(_search(spark.sparkContext.broadcast(Index(rows, k, threshold))), "doc_id long, item_id long, n_item_shingles long, n_shared long")
-        out = part if out is None else out.unionByName(part)
+    base, ddl = only(docs, "doc_id", "text"), "doc_id long, item_id long, n_item_shingles long, n_shared long"
+    out = _scan_blocks(benchmark, k, threshold, lambda index: base.mapInArrow(_search(index), ddl))
     if out is None:
-        out = spark.createDataFrame([], "doc_id long, item_id long, n_item_shingles long, n_shared long")
+        out = docs.sparkSession.createDataFrame([], ddl)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFrame:
     """``docs`` (doc_id, text, lang, source, n_chars) without those in which ``find_items`` finds an item."""
-    spark, out = docs.sparkSession, only(docs, "doc_id", "text", "lang", "source", "n_chars")
+    spark, out, last = docs.sparkSession, only(docs, "doc_id", "text", "lang", "source", "n_chars"), None
     for rows in _blocks(benchmark):
-        out = out.mapInArrow(_keep(spark.sparkContext.broadcast(Index(rows, k, threshold))), out.schema)
+        if last is not None:  # the rows that the blocks so far leave are written before the next
+            out = materialize(out)
+            last.destroy()
+        last = spark.sparkContext.broadcast(Index(rows, k, threshold))
+        out = out.mapInArrow(_keep(last), out.schema)
     return out
 
 

@@ -158,6 +158,41 @@ def test_decontamination(spark, docs, none):
     assert dc.find_items(docs, spark.createDataFrame([], BENCH)).count() == 0
 
 
+def test_decontamination_equals_brute_force(spark, monkeypatch):
+    """Items that share a template, equal items, short ones, several blocks: against containment of plain shingle sets."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randint(2, 6)))
+    template = " ".join(word() for _ in range(12))
+    items = [(i, template + " " + " ".join(word() for _ in range(r.choice((1, 2, 8, 30))))) for i in range(40)]
+    items += [(100 + i, " ".join(word() for _ in range(n))) for i, n in enumerate((1, 2, 3, 4, 5, 6, 90, 300))]
+    items += [(200, items[3][1]), (201, items[3][1].upper()), (None, items[47][1]), (202, None), (203, " ")]
+    texts = [None, "", template] + [" ".join(word() for _ in range(r.randint(0, 80))) for _ in range(40)]
+    for _ in range(60):
+        w = r.choice(items[:48])[1].split()
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = word()
+        texts.append(" ".join([word() for _ in range(r.randint(0, 9))] + w + [word() for _ in range(r.randint(0, 400))]))
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    want = Counter()
+    for d, t in enumerate(texts):
+        for i, x in items:
+            w = (x or "").lower().split()
+            if w:
+                own = grams(w, min(5, len(w)))
+                shared = len(own & grams((t or "").split(), min(5, len(w))))
+                if 5 * shared >= 4 * len(own):
+                    want[(d, i, len(own), shared)] += 1
+    df, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), spark.createDataFrame(items, BENCH)
+    rows5 = df.selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    for block in (dc.BLOCK, 150):
+        monkeypatch.setattr(dc, "BLOCK", block)
+        assert Counter(tuple(x)[:4] for x in dc.find_items(df, bench).collect()) == want
+        assert sorted(x.doc_id for x in dc.remove_contaminated(rows5, bench).collect()) == sorted(set(range(len(texts))) - {d for d, *_ in want})
+    ix = dc.Index(items, 5, dc.THRESHOLD)
+    shared = dc._grams(dc.word_hashes(np.frombuffer(template.encode(), np.uint8), np.array([0, len(template)]))[0], 5)
+    assert max((ix.parts[5][0] == h).sum() for h in shared) < 40  # the template is in few sketches
+
+
 def test_quality_rules(docs, none):
     got = qr.rate_documents(docs).collect()
     assert len(got) == len(rows())
