@@ -24,12 +24,14 @@ WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset (tests), a local one.
+    """A new folder under ``spark.checkpoint.dir``; only where that is unset and Spark runs in one local process (tests), a local one.
 
     The folder is what every executor can read, so tables written there outlive any executor.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "cairn-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/cairn-{uuid.uuid4().hex}"
@@ -42,6 +44,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate tables, on whatever file system it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def skew_join(rows: DataFrame, counted: DataFrame, keys: list[str], count: str, total: int, hot: int = 4096) -> DataFrame:
     """Inner join of ``rows`` with ``counted`` (unique by ``keys``; ``count``: rows of each key, summing to ``total`` at most).
 

@@ -11,10 +11,17 @@ keeps about ``fanout * log(n)`` runs. Runs lie in the shared folder: a lost
 executor loses none, and bucketing makes the merge joins and compactions free of
 shuffles of earlier runs.
 
+The lines that go are found in the texts where they are read: the repeated lines' hashes
+are broadcast while they are ``MAX_REPEATED`` or fewer (24 bytes each), so no text is
+shuffled. Beyond that, each row's own are gathered by doc_id and the text's hash (a
+row's lines at most), and joined to the texts by shuffle, those that many rows share by
+broadcast.
+
 Rows count as documents: repeated rows of one doc_id each count, and all of them
 keep the line where that doc_id is the largest. A null doc_id is below all
-others. A null text is one empty line. An empty table gives an empty result.
-Keys that differ but have equal hashes: about one in 2**128 pairs.
+others. A null text is one empty line. An empty table gives an empty result; extra
+columns of any name are ignored. Keys that differ but have equal hashes: about one in
+2**128 pairs.
 """
 
 from __future__ import annotations
@@ -27,9 +34,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import batch, binary, materialize, only, shared_dir, skew_join, slices
+from ._common import batch, binary, materialize, only, remove, shared_dir, skew_join, slices
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 4
+#: Repeated lines that are broadcast at most (48 MB).
+MAX_REPEATED = 2_000_000
 
 _LINES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64())])
 
@@ -76,7 +85,8 @@ class LineRuns:
 
     def _write(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        (df.repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.dir}/{name}").saveAsTable(name))
+        # what comes from an aggregation or a join by hash is partitioned by the buckets already; the writer sorts
+        df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.dir}/{name}").saveAsTable(name)
         return name
 
     def runs(self) -> list[DataFrame]:
@@ -117,9 +127,15 @@ class LineRuns:
                 self._forget(level)
 
     def _forget(self, names: list[str]) -> None:
-        """Takes tables that a merge has replaced out of the catalog; their files go with the shared folder."""
+        """Takes tables that a merge has replaced out of the catalog and deletes their files."""
         for name in names:
             self.spark.sql(f"DROP TABLE {name}")
+            remove(self.spark, f"{self.dir}/{name}")
+
+    def close(self) -> None:
+        """Removes all runs; what was read from them must be written before."""
+        self._forget([r for level in self.levels for r in level] + self.repeats)
+        self.levels, self.repeats = [], []
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
@@ -136,39 +152,141 @@ class LineRuns:
         return self._merged([*self.runs(), *map(self.spark.table, self.repeats)])
 
 
-def _drop(min_chars: int, schema: pa.Schema, finish):
+class Repeated:
+    """The repeated lines and their last documents, as arrays sorted by hash."""
+
+    def __init__(self, h1: np.ndarray, h2: np.ndarray, last: np.ndarray, known: np.ndarray):
+        order = np.lexsort((h2, h1))
+        self.h1, self.h2, self.last, self.known = h1[order], h2[order], last[order], known[order]
+
+    def gone(self, h: np.ndarray, doc: np.ndarray, has_id: np.ndarray) -> np.ndarray:
+        """Whether each line hash is repeated and its document not the last that holds it."""
+        a, b = np.searchsorted(self.h1, h[:, 0], "left"), np.searchsorted(self.h1, h[:, 0], "right")
+        out = np.zeros(len(h), bool)
+        while True:  # equal first halves are almost always one row
+            at = np.flatnonzero(a < b)
+            if not len(at):
+                return out
+            hit = at[self.h2[a[at]] == h[at, 1]]
+            k = a[hit]
+            out[hit] = np.where(self.known[k], ~has_id[hit] | (self.last[k] != doc[hit]), has_id[hit])
+            a[at] += 1
+
+
+def _finish(texts: list[bytes], keys: list, gone: list) -> list[tuple[bytes, int, int]]:
+    """Each text without the lines that go, its lines and how many went."""
+    out = []
+    for t, own, g in zip(texts, keys, gone):
+        if any(g):
+            lines = [x for (x, _), drop in zip(own, g) if not drop]
+            out.append((b"\n".join(lines), len(own), len(own) - len(lines)))
+        else:
+            out.append((t, len(own), 0))
+    return out
+
+
+def _drop_known(repeated, min_chars: int, schema: pa.Schema, finish):
+    """Drops lines by the broadcast of all repeated ones."""
+
+    def run(batches):
+        known = repeated.value
+        for rb in batches:
+            ids, text = rb.column(0), binary(rb.column(1))
+            doc, has_id = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
+            for a, b in slices(text):
+                texts = [t or b"" for t in text.slice(a, b - a).to_pylist()]
+                keys = [_keys(t, min_chars) for t in texts]
+                digests = [d for own in keys for _, d in own if d]
+                owner = np.repeat(np.arange(a, b), [sum(d is not None for _, d in own) for own in keys])
+                lost = iter(known.gone(np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), doc[owner], has_id[owner]).tolist())
+                gone = [[d is not None and next(lost) for _, d in own] for own in keys]
+                yield batch(schema, finish(rb.slice(a, b - a), _finish(texts, keys, gone)))
+
+    return run
+
+
+def _drop_listed(min_chars: int, schema: pa.Schema, finish):
+    """Drops the lines whose hashes the row's ``digests`` lists."""
+
     def run(batches):
         for rb in batches:
-            text, sets = binary(rb.column(rb.schema.get_field_index("text"))), rb.column(rb.schema.get_field_index("digests"))
+            text, sets = binary(rb.column(1)), rb.column(rb.schema.get_field_index("digests"))
             for a, b in slices(text):
-                kept = []
-                for t, s in zip(text.slice(a, b - a).to_pylist(), sets.slice(a, b - a).to_pylist()):
-                    t = t or b""
-                    n = t.count(b"\n") + 1
-                    if s:
-                        data = np.array(s, np.int64).tobytes()
-                        gone = {data[i : i + 16] for i in range(0, len(data), 16)}
-                        lines = [x for x, d in _keys(t, min_chars) if d not in gone]
-                        kept.append((b"\n".join(lines), n, n - len(lines)))
-                    else:
-                        kept.append((t, n, 0))
-                yield batch(schema, finish(rb.slice(a, b - a), kept))
+                texts, keys, gone = [t or b"" for t in text.slice(a, b - a).to_pylist()], [], []
+                for t, s in zip(texts, sets.slice(a, b - a).to_pylist()):
+                    lost = {int(x["h1"]).to_bytes(8, "little", signed=True) + int(x["h2"]).to_bytes(8, "little", signed=True) for x in s or ()}
+                    keys.append(_keys(t, min_chars))
+                    gone.append([d in lost for _, d in keys[-1]])
+                yield batch(schema, finish(rb.slice(a, b - a), _finish(texts, keys, gone)))
 
     return run
 
 
-def _with_drops(docs: DataFrame, min_chars: int, min_docs: int, batches: int) -> DataFrame:
-    """``docs`` with ``digests``: h1 and h2 of each line that the row loses, one after the other, or null."""
+def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int) -> DataFrame:
+    """h1, h2, n_docs, last_doc of the line keys that ``min_docs`` documents or more hold, from runs that ``batches`` batches of documents are added to."""
     spark = docs.sparkSession
-    lines = materialize(line_hashes(docs, min_chars))
+    path = shared_dir(spark)
+    lines = line_hashes(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
+    lines.write.partitionBy("batch").parquet(path)  # a batch reads its own files alone
+    lines = spark.read.schema(lines.schema).parquet(path)
     runs = LineRuns(spark)
     for k in range(batches):
-        runs.add(lines.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
-    total = lines.count()
-    repeated = runs.counts().filter(F.col("n_docs") >= min_docs)
-    hit = skew_join(lines, repeated, ["h1", "h2"], "n_docs", total)
-    gone = hit.filter(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).groupBy(F.col("doc_id").alias("drop_id")).agg(F.flatten(F.collect_list(F.array("h1", "h2"))).alias("digests"))  # no more than the lines of a document
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["drop_id"]), "left").drop("drop_id")
+        runs.add(lines.filter(F.col("batch") == k).drop("batch"))
+    repeated = materialize(runs.counts().filter(F.col("n_docs") >= min_docs))
+    runs.close()
+    remove(spark, path)
+    return repeated
+
+
+_KEY = ["doc_id", "t1", "t2"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit("line"), "text")})
+
+
+def _explode_keyed(min_chars: int):
+    schema = pa.schema([*_LINES, ("t1", pa.int64()), ("t2", pa.int64())])
+
+    def run(batches):
+        for rb in batches:
+            text = binary(rb.column(1))
+            for a, b in slices(text):
+                own = [list({d for _, d in _keys(t or b"", min_chars) if d}) for t in text.slice(a, b - a).to_pylist()]
+                h = np.frombuffer(b"".join(d for ds in own for d in ds), np.int64).reshape(-1, 2)
+                at = pa.array(np.repeat(np.arange(a, b), list(map(len, own))))
+                yield batch(schema, [h[:, 0], h[:, 1], *(rb.column(c).take(at) for c in (0, 2, 3))])
+
+    return run
+
+
+def _listed(docs: DataFrame, repeated: DataFrame, min_chars: int) -> DataFrame:
+    """``docs`` with ``digests``: the hashes of the lines that the row loses, or null."""
+    rows = _keyed(docs)
+    lines = rows.select("doc_id", "text", "t1", "t2").mapInArrow(_explode_keyed(min_chars), "h1 long, h2 long, doc_id long, t1 long, t2 long")
+    total = repeated.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    hit = skew_join(lines, repeated, ["h1", "h2"], "n_docs", total).filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+    # rows that repeat a doc_id and text lose the same lines: one list of them, made map-side first
+    gone = hit.groupBy(*_KEY).agg(F.collect_set(F.struct("h1", "h2")).alias("digests"), F.count(F.lit(1)).alias("c")).withColumn("c", F.col("c") / F.size("digests"))
+    gone = materialize(gone)
+    same = lambda g: rows["doc_id"].eqNullSafe(g["doc_id"]) & (rows["t1"] == g["t1"]) & (rows["t2"] == g["t2"])
+    # fewer than 4096 lists of rows that repeat so often, and as many bytes as 4096 average texts: a bound for their broadcast
+    most = gone.agg(F.coalesce(F.sum("c"), F.lit(0.0))).first()[0] / 4096
+    often, rest = gone.filter(F.col("c") > max(most, 1.0)), gone.filter(F.col("c") <= max(most, 1.0))
+    out = rows.join(F.broadcast(often.select(*_KEY, F.col("digests").alias("d1"))).alias("o"), same(often), "left").select(*[rows[c] for c in rows.columns], "d1")
+    rest = rest.select(*[F.col(c).alias(f"r_{c}") for c in _KEY], F.col("digests").alias("d2")).hint("shuffle_hash")
+    # rows that lose nothing or are listed above spread by their hash instead of meeting under one id
+    out = out.join(rest, F.col("doc_id").eqNullSafe(F.col("r_doc_id")) & (F.col("t1") == F.col("r_t1")) & (F.col("t2") == F.col("r_t2")), "left")
+    return out.select(*docs.columns, F.coalesce("d1", "d2").alias("digests"))
+
+
+def _apply(docs: DataFrame, min_chars: int, min_docs: int, batches: int, schema: pa.Schema, ddl: str, finish) -> DataFrame:
+    repeated = repeated_lines(docs, min_chars, min_docs, batches)
+    if repeated.limit(MAX_REPEATED + 1).count() > MAX_REPEATED:
+        return _listed(docs, repeated, min_chars).mapInArrow(_drop_listed(min_chars, schema, finish), ddl)
+    known = repeated.select("h1", "h2", F.coalesce("last_doc", F.lit(0)).alias("last"), F.col("last_doc").isNotNull().alias("known")).toPandas()
+    known = docs.sparkSession.sparkContext.broadcast(Repeated(*(known[c].to_numpy(t) for c, t in (("h1", np.int64), ("h2", np.int64), ("last", np.int64), ("known", bool)))))
+    return docs.mapInArrow(_drop_known(known, min_chars, schema, finish), ddl)
 
 
 _REPORT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
@@ -186,14 +304,13 @@ def _clean(rb, kept):
 
 def report_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped and the SHA-256 of the lines that stay."""
-    df = _with_drops(only(docs, "doc_id", "text"), min_chars, min_docs, batches)
-    return df.mapInArrow(_drop(min_chars, _REPORT, _report), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return _apply(only(docs, "doc_id", "text"), min_chars, min_docs, batches, _REPORT, "doc_id long, n_lines long, n_dropped long, kept_sha256 string", _report)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """``docs`` (doc_id, text, lang, source, n_chars) without the lines that ``report_lines`` counts as dropped."""
-    df = _with_drops(only(docs, "doc_id", "text", "lang", "source", "n_chars"), min_chars, min_docs, batches)
-    return df.mapInArrow(_drop(min_chars, _DOCS, _clean), "doc_id long, text string, lang string, source string, n_chars long")
+    cols = ["doc_id", "text", "lang", "source", "n_chars"]
+    return _apply(only(docs, *cols), min_chars, min_docs, batches, _DOCS, "doc_id long, text string, lang string, source string, n_chars long", _clean)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

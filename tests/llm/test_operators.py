@@ -53,7 +53,11 @@ def test_sharding(docs, none):
     assert sh.assign_shards(none).count() == 0
 
 
-def test_line_dedup(spark, docs, none):
+@pytest.mark.parametrize("most", [ld.MAX_REPEATED, 0])
+def test_line_dedup(spark, docs, none, monkeypatch, most):
+    """By broadcast of the repeated lines, and by the shuffle beyond it."""
+    monkeypatch.setattr(ld, "MAX_REPEATED", most)
+
     def brute(rs):
         key = lambda line: line.strip(" \t\x0b\x0c\r\n").translate({c: c + 32 for c in range(65, 91)})
         own = defaultdict(list)
@@ -74,8 +78,16 @@ def test_line_dedup(spark, docs, none):
     many = [(i, "\n".join(f"a line that is number {r.randint(0, 60)}" for _ in range(r.randint(0, 9)))) for i in range(200)]
     df = spark.createDataFrame(many, "doc_id long, text string")
     assert Counter(keyed(ld.report_lines(df, batches=9))) == brute(many)
+    # null and repeated ids by the hundred
+    hot = [(None if i % 3 else 5, "a line that is in many documents\n" + ("another long line here " * (i % 4) + "\n") + f"own line of the document {i % 50}") for i in range(300)]
+    hot += [(None, "only in documents without any id")] * 4 + [(9, "only in documents without any id"[::-1])] * 3
+    df = spark.createDataFrame(hot, "doc_id long, text string").repartition(4)
+    assert Counter(keyed(ld.report_lines(df))) == brute(hot)
     cleaned = ld.dedup_lines(docs)
-    assert cleaned.columns == ["doc_id", "text", "lang", "source", "n_chars"] and cleaned.count() == len(rows())
+    assert cleaned.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    got = Counter((x.doc_id, hashlib.sha256((x.text or "").encode()).hexdigest()) for x in cleaned.collect())
+    assert got == Counter({k: v for (i, _, _, h), n in brute(rows()).items() for k, v in (((i, h), n),)})
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
 
 
 def shingles(t, k=5):
