@@ -7,9 +7,9 @@ maximum of the chunks' features feed a small hidden layer that gives one
 probability. Because inputs are bytes, embedding and filters are folded into one
 table per filter tap, so a convolution is ``WIDTH`` table lookups.
 
-The network is fitted on the driver, on about ``SAMPLE`` labelled documents drawn by
-a hash of the doc_id, half of them of each label where there are so many: a
-documented bound. Scoring reads each text once, whole, in Arrow batches, without
+The network is fitted on the driver, on about ``SAMPLE`` labelled documents of at most
+``LONGEST`` bytes each, drawn by a hash of the doc_id, half of them of each label where
+there are so many: a documented bound in rows and bytes (some 200 MB at most). Scoring reads each text once, whole, in Arrow batches, without
 a shuffle.
 
 Null or empty text: one chunk of padding, scored like any other. Null labels are
@@ -28,6 +28,8 @@ from ._common import batch, binary, only, slices
 from .language import held_out
 
 CHUNK, STEP, WIDTH, STRIDE, FILTERS, DIM, HIDDEN = 512, 384, 8, 2, 16, 8, 8
+#: Bytes of a document that is learned from at most; longer ones are scored whole, but not learned from.
+LONGEST = 1 << 16
 SAMPLE, EPOCHS, RATE, MINIBATCH, THRESHOLD, SEED = 3000, 6, 0.01, 16, 0.3, 20
 #: Steps of training at least, where there are few labels.
 LEAST_STEPS = 600
@@ -152,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     for q, n in sizes.items():
         rate = F.when(F.col("quality") == q, min(1.0, sample / 2 / n)).otherwise(rate)
     drawn = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000)) < rate * 1_000_000)  # about ``sample`` rows
-    rows = only(docs, "doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "quality").orderBy("doc_id", "quality").collect()
+    rows = only(docs, "doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "quality").orderBy("doc_id", "quality").collect()
     y = np.array([r.quality > 0 for r in rows], float)
     if len(set(y.tolist())) < 2:
         return Network(prior=float(y.mean()) if len(y) else 0.5)

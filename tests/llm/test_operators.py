@@ -1,6 +1,7 @@
 """The operators on DataFrames: odd rows, empty tables, clashing columns, and results against brute force."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -350,8 +351,6 @@ FORMS = forms()
 
 
 def test_licenses_equal_brute_force(spark):
-    import os
-
     import duckdb
 
     r = random.Random(5)
@@ -488,3 +487,35 @@ def test_sharding_keeps_groups_and_evens_bytes(spark):
     moved = sh.even_out(w, np.array(want), 7)
     spread = lambda s: np.ptp(np.bincount(s, w[:, 0], 7))
     assert spread(moved) <= spread(np.array(want)) and len(moved) == 200
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_held_out_accuracy(spark):
+    """What was not learned from: languages are named right, junk is told from prose."""
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
+    got = [r for r in lg.op7_language_id(spark, SF).collect() if r.held_out and lang[r.doc_id] is not None and r.lang_pred != "und"]
+    assert len(got) > 250 and sum(r.lang_pred == lang[r.doc_id] for r in got) >= 0.97 * len(got)
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.quality is not None}
+    got = [(r.score, label[r.doc_id]) for r in cnn.op8_quality_classifier(spark, SF).collect() if r.held_out and r.doc_id in label]
+    good, bad = [s for s, q in got if q], [s for s, q in got if not q]
+    above = sum((g > b) + 0.5 * (g == b) for g in good for b in bad)
+    assert len(bad) >= 5 and above >= 0.95 * len(good) * len(bad)
+
+
+def test_languages_tie_and_null_rows(spark):
+    """Texts that two languages hold alike: the first in the alphabet; null texts, ids and languages."""
+    many = [(i, "alpha beta gamma delta" if i < 60 else None, "zy"[i % 2]) for i in range(64)] + [(None, "alpha beta", None), (None, None, None), (70, "", "y")]
+    got = lg.identify_languages(spark.createDataFrame(many, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(many) and {r.lang_pred for r in got if r.score > 0} == {"y"} and {r.lang_pred for r in got if r.score == 0} == {"und"}
+    assert all(r.held_out for r in got if r.doc_id is None)
+
+
+def test_classifier_learns_from_short_documents_alone(spark, monkeypatch):
+    monkeypatch.setattr(cnn, "LONGEST", 60)
+    rows = [(i, ("plain words " * 3) if i % 2 else ("## $$ " * 5), i % 2) for i in range(40)] + [(100 + i, "plain words " * 500, 0) for i in range(40)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, q, 0) for i, _, q in rows], LABELS)
+    got = {r.doc_id: r.score for r in cnn.score_quality(docs, labels).collect()}
+    assert len(got) == 80 and min(got[i] for i in range(1, 40, 2)) > max(got[i] for i in range(0, 40, 2)) and got[100] > 0.5
