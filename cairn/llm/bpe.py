@@ -11,8 +11,9 @@ The vocabulary's path is a parameter; every executor must be able to read it. It
 normalizer (NFC, lower case), splitting pattern, end-of-word suffix and missing
 decoder (token strings joined by spaces) are those of the word-level file. A null
 or empty text encodes to no ids and decodes to an empty text. Special strings
-inside a text are their own tokens, as the library's default has it. Repeated rows,
-null ids and empty tables need nothing special.
+inside a text are their own tokens, as the library's default has it. Repeated rows are
+coded each, null ids stay null, an empty table gives an empty result, extra columns of any
+name are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import functools
 import hashlib
 import json
 import unicodedata
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -31,8 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import batch, binary, only, slices
 from .token_counts import byte_symbols
 
-#: Pre-tokens in each generation of a worker's memo.
-MEMO = 250_000
+#: Pre-tokens in each generation of a worker's memo, and characters of one that is kept there at most.
+MEMO, MEMO_CHARS = 250_000, 128
+#: Symbols of a pre-token beyond which its tree and links are packed arrays (40 bytes a symbol and its token strings).
+PACKED = 1 << 16
 _SHIFT = 32
 _MASK = (1 << _SHIFT) - 1
 _NONE = 1 << 62
@@ -47,8 +51,8 @@ def merge_all(symbols: list, ranks: dict, result: dict) -> list:
     size = 1
     while size < n - 1:
         size *= 2
-    # a leaf is rank and place in one integer: smaller is lower rank, then further left
-    tree = [_NONE] * (2 * size)
+    # a leaf is rank and place in one integer: smaller is lower rank, then further left; long runs lie in packed arrays
+    tree = [_NONE] * (2 * size) if n <= PACKED else array("q", [_NONE]) * (2 * size)
     for i in range(n - 1):
         r = get((symbols[i], symbols[i + 1]))
         if r is not None:
@@ -56,7 +60,7 @@ def merge_all(symbols: list, ranks: dict, result: dict) -> list:
     for i in range(size - 1, 0, -1):
         x, y = tree[2 * i], tree[2 * i + 1]
         tree[i] = x if x < y else y
-    nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
+    nxt, prev = (list(r) if n <= PACKED else array("q", r) for r in (range(1, n + 1), range(-1, n - 1)))
 
     def put(i: int, value: int) -> None:
         i += size
@@ -136,14 +140,14 @@ class Coder:
 
     def coded(self, words: list[str]) -> list[tuple[str, str]]:
         """Of each pre-token its ids and its token strings, each joined by spaces."""
-        memo = self.memo
+        memo, long = self.memo, {}
         for w in set(words).difference(memo):
             known = self.old.get(w)
             if known is None:
                 p = self.pieces(w)
                 known = " ".join([str(self.vocab[x]) for x in p]), " ".join(p)
-            memo[w] = known
-        return [memo[w] for w in words]
+            (memo if len(w) <= MEMO_CHARS else long)[w] = known
+        return [memo[w] for w in words] if not long else [long[w] if w in long else memo[w] for w in words]
 
     def encode(self, text: str) -> list[int]:
         return [self.vocab[p] for w in self.words(text) for p in self.pieces(w)]

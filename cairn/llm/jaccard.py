@@ -32,7 +32,8 @@ size, too, so no large group of near copies lies in one task.
 
 Null or empty text: an empty set, linked with nothing, a component of its own.
 Rows that repeat a doc_id are documents of their own with the same id. A null
-doc_id takes part, but gives no component its id unless all of them are null.
+doc_id takes part, but gives no component its id unless all of them are null. An empty
+table gives an empty result; extra columns of any name are ignored.
 """
 
 from __future__ import annotations

@@ -10,8 +10,8 @@ bounded size in each worker.
 
 The vocabulary's path is a parameter; every executor must be able to read it. A
 null or empty text has no tokens. Special strings inside a text count as one
-token each, as the library's default has it. Repeated rows, null ids and empty
-tables need nothing special.
+token each, as the library's default has it. Repeated rows are counted each, null ids
+stay null, an empty table gives an empty result, extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from ._common import batch, binary, only, slices
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LIMIT = 1024
-#: Pre-tokens in each generation of a worker's memo, and merged in one batch.
-MEMO, BATCH = 300_000, 20_000
+#: Pre-tokens in each generation of a worker's memo, and merged in one batch; characters of one that is kept in the memo at most.
+MEMO, BATCH, MEMO_CHARS = 300_000, 20_000, 128
 _NONE = np.int64(1 << 40)
 
 
@@ -133,9 +133,13 @@ def count_tokens(texts: list[str], path: str) -> list[int]:
     for w in missing & old.keys():
         memo[w] = old[w]
     todo = list(missing.difference(old))
+    long: dict[str, int] = {}
     for i in range(0, len(todo), BATCH):
         some = todo[i : i + BATCH]
-        memo.update(zip(some, m.count([w.encode() for w in some]).tolist()))
+        for w, n in zip(some, m.count([w.encode() for w in some]).tolist()):
+            (memo if len(w) <= MEMO_CHARS else long)[w] = n
+    if long:
+        return [sum(long[w] if w in long else memo[w] for w in p) + s for p, s in zip(parts, special)]
     return [sum(map(memo.__getitem__, p)) + s for p, s in zip(parts, special)]
 
 

@@ -115,7 +115,7 @@ def test_containment_index_finds_what_brute_force_finds():
     ix = dc.Index(items, 5, Fraction(4, 5))
     data = "".join(docs).encode()
     off = np.concatenate([[0], np.cumsum([len(d.encode()) for d in docs])])
-    got = {(d, ix.ids[i]) for d, i, _ in ix.matches(*dc.word_hashes(np.frombuffer(data, np.uint8), off))}
+    got = {(d, x) for d, i, _ in ix.matches(*dc.word_hashes(np.frombuffer(data, np.uint8), off)) for x in ix.ids[i]}
     assert got == want and want
 
 

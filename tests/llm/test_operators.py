@@ -519,3 +519,31 @@ def test_classifier_learns_from_short_documents_alone(spark, monkeypatch):
     docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, q, 0) for i, _, q in rows], LABELS)
     got = {r.doc_id: r.score for r in cnn.score_quality(docs, labels).collect()}
     assert len(got) == 80 and min(got[i] for i in range(1, 40, 2)) > max(got[i] for i in range(0, 40, 2)) and got[100] > 0.5
+
+
+def test_long_runs_without_a_break(spark):
+    """Pre-tokens far beyond the memo and the packed trees: as the libraries have them."""
+    P, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcdefghijkl") for _ in range(n)) for n in (127, 128, 129, 130, 5000)] + ["ab" * 40_000, "x" * 70_000, "é" * 300 + " plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    t = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert {x.doc_id: x.n_tokens for x in tc.token_counts(df, P.path("byte_bpe_50k.json")).collect()} == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    t = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    assert {x.doc_id: list(x.ids) for x in bpe.encode_documents(df, P.path("word_bpe_49k.json")).collect()} == {i: t.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts)}
+
+
+def test_pipeline_with_null_and_repeated_rows(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(16)
+    prose = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7))) for _ in range(80))
+    a, b, c, d = prose(), prose(), prose(), prose()
+    texts = [(1, a), (None, a), (None, a), (5, b), (5, b), (7, c + " " + ITEM), (8, d), (8, c), (None, None), (9, None), (None, ""), (3, " \n "), (None, prose())]
+    out = [(i, t, None, None, None, "x") for i, t in texts]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, h1 string"
+    spark.createDataFrame(out, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, ITEM), (None, None)], BENCH).write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = Counter(x.doc_id for x in pipeline.run(spark, str(tmp_path)).collect())
+    assert got == Counter([1, 5, 8, 8, None, None, None])  # the line of 1 goes from the two null ids: they stay, empty
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
