@@ -24,6 +24,7 @@ COLUMNS = {
     "includes": "include string, line int",
     "calls": "caller string, callee string",
     "docs": "line int, doc string",
+    "code": "code string",
     "failures": "error string",
 }
 
@@ -31,6 +32,8 @@ COLUMNS = {
 def records(text: str | None, kind: str) -> list[dict]:
     if kind == "calls":
         return [{"caller": a, "callee": b} for a, b in cpp.calls(text)]
+    if kind == "code":
+        return [{"code": cpp.strip_comments(text or "")}]
     if kind == "docs":
         return [{"line": n, "doc": t} for n, t in cpp.doc_lines(text or "")]
     return cpp.parse(text)[kind]

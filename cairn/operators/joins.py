@@ -57,8 +57,10 @@ def resolve_includes(includes: DataFrame, headers: DataFrame, max_basename: int
     near = inc.select("cpp", "include", F.lit(1).alias("priority"), normal_path(F.concat_ws("/", dirname("cpp"), F.col("include"))).alias("header"))
     rooted = inc.withColumn("r", F.explode(roots)).select("cpp", "include", F.col("r.priority").alias("priority"), normal_path(F.concat(F.col("module_root"), F.lit("/"), F.col("r.sub"), F.col("include"))).alias("header"))
     exact = near.unionByName(rooted).join(head, "header")
-    named = inc.withColumn("base", basename("include")).join(head.withColumn("base", basename("header")), "base")
-    named = named.select("cpp", "include", F.when(F.col("header").contains(F.col("include")), 6).otherwise(7).alias("priority"), "header")
+    # by base name: a best header for each include as it is written, however many files hold it
+    other = inc.select("include").distinct().withColumn("base", basename("include")).join(head.withColumn("base", basename("header")), "base")
+    other = other.groupBy("include").agg(F.min(F.struct(F.when(F.col("header").contains(F.col("include")), 6).otherwise(7).alias("priority"), "header")).alias("b"))
+    named = inc.select("cpp", "include").distinct().join(other, "include").select("cpp", "include", "b.priority", "b.header")
     best = F.row_number().over(Window.partitionBy("cpp", "include").orderBy("priority", "header"))
     strategy = F.when(F.col("priority") == 1, "relative").when(F.col("priority") <= 5, "module").otherwise("basename")
     return exact.select(*named.columns).unionByName(named).withColumn("nth", best).filter("nth = 1").select("cpp", "include", "header", strategy.alias("strategy"))
@@ -78,7 +80,13 @@ def implementation_file(declarations: DataFrame, sources: DataFrame) -> DataFram
 
 def definition_lines(functions: DataFrame, lines: DataFrame) -> DataFrame:
     """name, file, line of the first line in its file that defines a function (``name(`` after a word, not ended by ``;``); 0 if none does."""
-    hit = functions.select("name", "file").distinct().join(lines, "file").filter(F.regexp_like("line", F.concat(F.lit(r"[\w>&*:]\s*\b"), F.col("name"), F.lit(r"\s*\([^;]*$"))))
+    own = functions.select("name", "file").distinct()
+    plain = F.col("name").rlike(r"^\w+$")
+    # a plain name meets the lines that have it before a bracket; only operators and the like meet every line of their file
+    called = lines.withColumn("name", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"(\w+)\s*\("), F.lit(1)))))
+    meet = own.filter(plain).join(called, ["file", "name"]).select("name", "file", "line_number", "line")
+    meet = meet.unionByName(own.filter(~plain).join(lines, "file").select("name", "file", "line_number", "line"))
+    hit = meet.filter(F.regexp_like("line", F.concat(F.lit(r"[\w>&*:]\s*\b"), F.col("name"), F.lit(r"\s*\([^;]*$"))))
     first = hit.groupBy("name", "file").agg(F.min("line_number").alias("found"))
     return functions.select("name", "file").distinct().join(first, ["name", "file"], "left").select("name", "file", F.coalesce("found", F.lit(0)).alias("line_number"))
 

@@ -40,9 +40,20 @@ def snippet(ln: DataFrame, spans: DataFrame, key: str, before: int = 6, after: i
     return own.groupBy(key).agg(shorten(F.array_join(F.transform(parts, lambda x: x["line"]), "\n"), limit, "\n... (truncated)").alias("code"))
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "nth") -> DataFrame:
+    """Row numbers from 0 in an order, without a window over all rows: rows of a range of the order are numbered in its task, after the rows of the ranges before."""
+    from .iterate import materialize
+
+    ranged = materialize(df.repartitionByRange(*order).withColumn("range_id", F.spark_partition_id()))
+    sizes = ranged.groupBy("range_id").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
+    starts = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    nth = F.row_number().over(Window.partitionBy("range_id").orderBy(*order)) - 1
+    return ranged.withColumn("in_range", nth).join(F.broadcast(starts), "range_id").withColumn(name, F.col("before") + F.col("in_range")).drop("range_id", "in_range", "before")
+
+
 def worker_of(df: DataFrame, order: list[str], workers: int) -> DataFrame:
-    """Round-robin worker numbers in an order. For small lists; a scan is better left to the partitioner."""
-    return df.withColumn("worker", F.pmod(F.row_number().over(Window.orderBy(*order)) - 1, F.lit(workers)))
+    """Round-robin worker numbers in an order."""
+    return numbered(df, order, "worker").withColumn("worker", F.pmod("worker", F.lit(workers)))
 
 
 def merge_declarations(df: DataFrame, keys: list[str], order: str, fill: list[str], any_of: list[str]) -> DataFrame:

@@ -61,10 +61,36 @@ def merge_partitions(parts: DataFrame) -> DataFrame:
 
 
 def content_hash(files: DataFrame, key: str = "module", path: str = "path", text: str = "text") -> DataFrame:
-    """SHA-256 of a module's files laid end to end, the descriptor first, then by path. Memory grows with a module; see ``hash_of_hashes``."""
+    """SHA-256 of a module's files laid end to end, the descriptor first, then by path.
+
+    Such a hash is a chain, so a module is read in one task, but as a sorted stream: no module lies in memory. See ``hash_of_hashes`` for one that is combined.
+    """
+    import hashlib
+
+    import pyarrow as pa
+
     first = (~F.col(path).endswith(".Build.cs")).cast("int")
-    parts = F.array_sort(F.collect_list(F.struct(first.alias("o"), F.col(path).alias("p"), F.coalesce(text, F.lit("")).alias("t"))))
-    return files.groupBy(key).agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["t"]), ""), 256).alias("hash"))
+    rows = files.select(F.col(key).alias("k"), first.alias("o"), F.col(path).alias("p"), F.coalesce(text, F.lit("")).cast("binary").alias("t"))
+
+    def run(batches):
+        none = object()
+        at, digest = none, None
+        for rb in batches:
+            out = []
+            for i in range(rb.num_rows):
+                k = rb.column(0)[i].as_py()
+                if k != at or at is none:
+                    if at is not none:
+                        out.append((at, digest.hexdigest()))
+                    at, digest = k, hashlib.sha256()
+                digest.update(rb.column(3)[i].as_buffer())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["k", "hash"])
+        if at is not none:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.string()), pa.array([digest.hexdigest()])], names=["k", "hash"])
+
+    out = rows.withColumn("k", F.col("k").cast("string")).repartition("k").sortWithinPartitions("k", "o", "p").mapInArrow(run, "k string, hash string")
+    return out.select(F.col("k").cast(files.schema[key].dataType).alias(key), "hash")
 
 
 def hash_of_hashes(files: DataFrame, key: str = "module", path: str = "path", digest: str = "sha256") -> DataFrame:

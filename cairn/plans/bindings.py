@@ -59,7 +59,7 @@ def modules(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("dependencies", union_sorted("public_dependencies", "private_dependencies")).withColumn("public_dependencies", F.coalesce("public_dependencies", F.array().cast("array<string>"))).withColumn("private_dependencies", F.coalesce("private_dependencies", F.array().cast("array<string>")))
 
 
-MODULES = """sup_edges AS (SELECT DISTINCT l_suppkey AS src, nxt AS dst FROM (SELECT l_orderkey, l_suppkey, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nxt FROM lineitem) WHERE nxt IS NOT NULL AND l_orderkey % 40 = 0 AND l_suppkey <> nxt),
+MODULES = """sup_edges AS (SELECT DISTINCT l_suppkey AS src, nxt AS dst FROM (SELECT l_orderkey, l_suppkey, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nxt FROM lineitem) WHERE nxt IS NOT NULL AND l_suppkey <> nxt),
 sup_deps AS (SELECT src, coalesce(list_sort(list(DISTINCT s_name) FILTER (WHERE dst % 2 = 0)), []) AS public_dependencies, coalesce(list_sort(list(DISTINCT s_name) FILTER (WHERE dst % 2 = 1)), []) AS private_dependencies FROM sup_edges JOIN supplier ON dst = s_suppkey GROUP BY src),
 modules AS (SELECT s_name AS name, CASE WHEN s_suppkey % 11 <> 0 THEN n_name END AS category, 'Engine/Source/' || n_name || '/' || s_name AS path, s_suppkey, CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey % 50 END AS file_count, (s_suppkey % 50) * 200 AS estimated_lines,
  CASE WHEN s_suppkey % 5 <> 0 THEN '2024-01-' || lpad((s_suppkey % 28 + 1)::VARCHAR, 2, '0') END AS indexed_at, coalesce(public_dependencies, []) AS public_dependencies, coalesce(private_dependencies, []) AS private_dependencies,
@@ -70,7 +70,7 @@ modules AS (SELECT s_name AS name, CASE WHEN s_suppkey % 11 <> 0 THEN n_name END
 def supplier_edges(spark: SparkSession, d: str) -> DataFrame:
     table(spark, d, "lineitem").createOrReplaceTempView("cairn_lineitem")
     return spark.sql("""SELECT DISTINCT l_suppkey AS src, nxt AS dst FROM (SELECT l_orderkey, l_suppkey, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nxt FROM cairn_lineitem)
-        WHERE nxt IS NOT NULL AND l_orderkey % 40 = 0 AND l_suppkey <> nxt""")
+        WHERE nxt IS NOT NULL AND l_suppkey <> nxt""")
 
 
 def _part_edges(spark: SparkSession, d: str, where: str) -> DataFrame:
@@ -82,8 +82,8 @@ def _part_edges_sql(name: str, where: str) -> str:
     return f"""{name} AS (SELECT DISTINCT l_partkey AS src, nxt AS dst FROM (SELECT l_orderkey, l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nxt FROM lineitem) WHERE nxt IS NOT NULL AND {where})"""
 
 
-#: Binding of graph shapes: a dense cyclic call graph, an acyclic dependency graph, a sparse cyclic one. The conditions define the graphs' edges.
-_ALL, _DAG, _CYCLIC = "true", "nxt > l_partkey AND l_orderkey % 10 = 0", "l_orderkey % 50 = 0"
+#: Binding of graph shapes, each over all orders: a dense cyclic call graph, and an acyclic dependency graph (edges to larger keys).
+_ALL, _DAG = "true", "nxt > l_partkey"
 
 
 def calls(spark, d):
@@ -94,17 +94,7 @@ def dag(spark, d):
     return _part_edges(spark, d, _DAG)
 
 
-def whole_dag(spark, d):
-    """Acyclic over all orders, for queries without SQL."""
-    return _part_edges(spark, d, "nxt > l_partkey")
-
-
-def cyclic(spark, d):
-    """All orders: the queries over it have no SQL."""
-    return _part_edges(spark, d, _ALL)
-
-
-CALLS, DAG, CYCLIC = _part_edges_sql("calls", _ALL), _part_edges_sql("dag", _DAG), _part_edges_sql("cyclic", _CYCLIC)
+CALLS, DAG = _part_edges_sql("calls", _ALL), _part_edges_sql("dag", _DAG)
 
 
 def parts(spark: SparkSession, d: str) -> DataFrame:

@@ -80,9 +80,10 @@ def _(s, d):
 
 
 
-@query("GRF11_graph_statistics")
+@query("GRF11_graph_statistics", f"""WITH RECURSIVE {B.DAG}, e AS MATERIALIZED (SELECT src, dst FROM dag UNION SELECT dst, src FROM dag), r(a, b) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src),
+ m AS (SELECT a, min(b) AS component, count(*) AS n FROM r GROUP BY a) SELECT count(*) AS n_nodes, (SELECT count(*) FROM dag) AS n_edges, count(*) FILTER (WHERE n = 1) AS n_isolates, count(DISTINCT component) AS n_components FROM m""")
 def _(s, d):
-    return graph.statistics(B.parts(s, d), B.whole_dag(s, d))
+    return graph.statistics(B.parts(s, d), B.dag(s, d))
 
 
 @query("GRF11_isolates", f"WITH {B.DAG} SELECT p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT src FROM dag UNION SELECT dst FROM dag)")
@@ -124,14 +125,24 @@ def _(s, d):
     return graph.distances(B.dag(s, d), 7)
 
 
-@query("GRF17_strong_components")
+_SCC = f"""WITH RECURSIVE {B.CALLS}, e AS MATERIALIZED (SELECT src, dst FROM calls WHERE src <> dst), n AS (SELECT src AS name FROM calls UNION SELECT dst FROM calls), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src),
+ scc AS (SELECT name, greatest(name, coalesce(top, name)) AS component FROM n LEFT JOIN (SELECT x.a, max(x.b) AS top FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a) ON a = name)"""
+
+
+@query("GRF17_strong_components", f"{_SCC} SELECT name, component FROM scc")
+def _(s, d):
+    return graph.strong_components(B.calls(s, d))
+
+
+@query("GRF17_call_statistics", f"""{_SCC} SELECT count(*) AS n_nodes, count(DISTINCT component) AS n_components, (SELECT count(*) FROM calls) AS n_edges, count(*) FILTER (WHERE name NOT IN (SELECT src FROM e UNION SELECT dst FROM e)) AS n_isolates,
+ CASE WHEN EXISTS (SELECT 1 FROM calls WHERE src = dst) OR count(DISTINCT component) < count(*) THEN 'N/A' END AS longest_path FROM scc""")
 def _(s, d):
-    return graph.strong_components(B.cyclic(s, d))
+    return graph.call_statistics(B.calls(s, d))
 
 
-@query("GRF17_call_statistics")
+@query("GRF17_longest_path", f"WITH RECURSIVE {B.DAG}, e AS MATERIALIZED (SELECT src, dst FROM dag), r(name, n) AS (SELECT src, 0 FROM e UNION SELECT e.dst, n + 1 FROM r JOIN e ON r.name = e.src) SELECT max(n)::BIGINT AS longest_path FROM r")
 def _(s, d):
-    return graph.call_statistics(B.cyclic(s, d))
+    return s.createDataFrame([(graph.longest_path(B.dag(s, d)),)], "longest_path long")
 
 
 @query("GRF18_sources_of_header", "SELECT DISTINCT 'c' || o_custkey AS cpp FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_suppkey = 7")

@@ -190,9 +190,10 @@ def _(s, d):
     return joins.with_dependencies(m.select("name"), deps).select("name", F.array_join("public_dependencies", ",").alias("pub"), F.array_join("dependencies", ",").alias("deps"))
 
 
-@query("JON02_dependency_edges", f"{_M}, sel AS (SELECT * FROM modules WHERE s_suppkey % 4 <> 0) SELECT DISTINCT name AS src, dst FROM (SELECT name, unnest(dependencies) AS dst FROM sel) WHERE dst IN (SELECT name FROM sel)")
+@query("JON02_dependency_edges", f"{_M}, sel AS (SELECT name, list_concat(dependencies, [name || 'X', 'Unknown']) AS dependencies FROM modules) SELECT DISTINCT name AS src, dst FROM (SELECT name, unnest(dependencies) AS dst FROM sel) WHERE dst IN (SELECT name FROM sel)")
 def _(s, d):
-    return joins.dependency_edges(B.modules(s, d).filter("s_suppkey % 4 <> 0"))
+    unknown = F.array(F.concat("name", F.lit("X")), F.lit("Unknown"))
+    return joins.dependency_edges(B.modules(s, d).withColumn("dependencies", F.concat("dependencies", unknown)))
 
 
 @query("JON03_dependents", f"{_M} SELECT name FROM modules WHERE list_contains(dependencies, 'Supplier#000000007')")
@@ -249,11 +250,10 @@ def _(s, d):
     return joins.implementation_file(decl, r)
 
 
-@query("JON11_definition_lines", "SELECT 'Fn' || p_partkey AS name, 'f' AS file, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE rn END AS line_number FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS rn FROM part WHERE p_partkey < 40)")
+@query("JON11_definition_lines", "SELECT 'Fn' || p_partkey AS name, p_brand || p_type AS file, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) END AS line_number FROM part")
 def _(s, d):
-    p = B.table(s, d, "part").filter("p_partkey < 40").withColumn("rn", F.expr("row_number() OVER (ORDER BY p_partkey)"))
-    ln = p.selectExpr("'f' AS file", "rn AS line_number", "CASE WHEN p_partkey % 3 = 0 THEN concat('void Fn', p_partkey, '(int a);') ELSE concat('void Fn', p_partkey, '(int a) {') END AS line")
-    return joins.definition_lines(p.selectExpr("concat('Fn', p_partkey) AS name", "'f' AS file"), ln).select("name", "file", F.col("line_number").cast("long").alias("line_number"))
+    p = B.table(s, d, "part").selectExpr("concat('Fn', p_partkey) AS name", "concat(p_brand, p_type) AS file", "row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS line_number", "concat('void Fn', p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '(int a);' ELSE '(int a) {' END) AS line")
+    return joins.definition_lines(p.select("name", "file"), p.select("file", "line_number", "line")).select("name", "file", F.col("line_number").cast("long").alias("line_number"))
 
 
 @query("JON12_class_node", f"{_C} SELECT name, module, line_number FROM classes WHERE name = 'Part12' ORDER BY is_uclass DESC, module, line_number LIMIT 1")
@@ -272,12 +272,12 @@ def _(s, d):
     return joins.neighbours(B.calls(s, d).withColumn("type", F.lit("calls")), 7, "both").select("node", "direction")
 
 
-@query("JON15_document_association", """WITH doc AS (SELECT p_brand AS file, p_size AS line, min(p_name) AS doc FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL), decl AS (SELECT p_partkey, p_brand AS file, p_size AS line FROM part WHERE p_partkey % 3 = 1)
+@query("JON15_document_association", """WITH doc AS (SELECT p_brand AS file, p_partkey % 97 AS line, min(p_name) AS doc FROM part GROUP BY ALL), decl AS (SELECT p_partkey, p_brand AS file, p_size AS line FROM part)
  SELECT p_partkey, coalesce(a.doc, b.doc, c.doc) AS doc FROM decl LEFT JOIN doc a ON decl.file = a.file AND decl.line = a.line LEFT JOIN doc b ON decl.file = b.file AND decl.line = b.line + 1 LEFT JOIN doc c ON decl.file = c.file AND decl.line = c.line + 2""")
 def _(s, d):
-    p = B.table(s, d, "part").withColumnsRenamed({"p_brand": "file", "p_size": "line"})
-    docs = p.filter("p_partkey % 3 = 0").groupBy("file", "line").agg(F.min("p_name").alias("doc"))
-    return joins.document(p.filter("p_partkey % 3 = 1").select("p_partkey", "file", "line"), docs).select("p_partkey", "doc")
+    p = B.table(s, d, "part")
+    docs = p.groupBy(F.col("p_brand").alias("file"), (F.col("p_partkey") % 97).alias("line")).agg(F.min("p_name").alias("doc"))
+    return joins.document(p.select("p_partkey", F.col("p_brand").alias("file"), F.col("p_size").alias("line")), docs).select("p_partkey", "doc")
 
 
 @query("JON16_macro_carry", """WITH l AS (SELECT user_id, event_id, event_type, value FROM events), m AS (SELECT *, lag(event_type) OVER w AS before, lag(value) OVER w AS v FROM l WHERE event_type IN ('click', 'view') WINDOW w AS (PARTITION BY user_id ORDER BY event_id))

@@ -270,8 +270,7 @@ def _(s, d):
 
 @query("PAR12_comment_lines", "SELECT p_partkey, 'int a' || p_size || ';' AS code, 4 AS n_lines FROM part")
 def _(s, d):
-    strip = F.udf(lambda t: __import__("cairn.functions.cpp", fromlist=["x"]).strip_comments(t), "string", useArrow=True)
-    p = _part(s, d, "concat('/* a\\n b\\n*/ int a', p_size, '; // ', p_name, '\\n')").select("p_partkey", strip("text").alias("t"))
+    p = P.parse_table(_part(s, d, "concat('/* a\\n b\\n*/ int a', p_size, '; // ', p_name, '\\n')"), "code").withColumnRenamed("code", "t")
     return p.select("p_partkey", F.trim(F.regexp_replace("t", r"\s+", " ")).alias("code"), F.size(F.split("t", "\n")).alias("n_lines"))
 
 
