@@ -39,6 +39,14 @@ def records(text: str | None, kind: str) -> list[dict]:
     return cpp.parse(text)[kind]
 
 
+def _tried(text: str | None, kind: str) -> tuple[list[dict], str | None]:
+    """The records, or none and the error: whatever a file does to the parser concerns that file alone."""
+    try:
+        return (cpp.parse(text), [])[1] if kind == "failures" else records(text, kind), None
+    except Exception as e:
+        return [], f"{type(e).__name__}: {e}"
+
+
 def parse_table(files: DataFrame, kind: str, text: str = "text") -> DataFrame:
     """The records of one kind in each row's text, after the row's other columns."""
     keep = [c for c in files.columns if c != text]
@@ -46,6 +54,30 @@ def parse_table(files: DataFrame, kind: str, text: str = "text") -> DataFrame:
     ddl = ", ".join([f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep] + [COLUMNS[kind]])
     target = _arrow(src.sparkSession, ddl)
 
+    def run(batches):
+        for rb in batches:
+            for at in range(0, rb.num_rows, 64):
+                out = []
+                for row in rb.slice(at, 64).to_pylist():
+                    found, error = _tried(row.pop(text), kind)
+                    out.extend(row | r for r in ([{"error": error}] if error and kind == "failures" else found))
+                yield pa.RecordBatch.from_pylist(out, schema=target)
+
+    return src.mapInArrow(run, ddl)
+
+
+#: What one parse of a file gives.
+KINDS = ("classes", "functions", "enums", "delegates", "includes", "calls", "failures")
+
+
+def parse_all(files: DataFrame, text: str = "text") -> DataFrame:
+    """Each text parsed once: after the row's other columns ``kind`` and a struct column for each of KINDS, of which the row's kind is filled. See ``of_kind``."""
+    keep = [c for c in files.columns if c != text]
+    src = files.select(*keep, text)
+    columns = {k: f"struct<{_fields(COLUMNS[k])}>" for k in KINDS}
+    ddl = ", ".join([f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep] + ["kind string"] + [f"`{k}` {t}" for k, t in columns.items()])
+    target = _arrow(src.sparkSession, ddl)
+
     def run(batches):
         for rb in batches:
             for at in range(0, rb.num_rows, 64):
@@ -53,15 +85,28 @@ def parse_table(files: DataFrame, kind: str, text: str = "text") -> DataFrame:
                 for row in rb.slice(at, 64).to_pylist():
                     t = row.pop(text)
                     try:
-                        found = records(t, kind) if kind != "failures" else (cpp.parse(t), [])[1]
-                    except (ValueError, IndexError, RecursionError) as e:
-                        found = [{"error": f"{type(e).__name__}: {e}"}] if kind == "failures" else []
-                    out.extend(row | r for r in found)
+                        found = cpp.parse(t)
+                        found["calls"] = [{"caller": d["name"], "callee": c} for d in found["definitions"] for c in cpp.callees(d["body"])]
+                    except Exception as e:  # whatever a file does to the parser concerns that file alone
+                        found = {"failures": [{"error": f"{type(e).__name__}: {e}"}]}
+                    out.extend(row | {"kind": k, k: r} for k in KINDS for r in found.get(k, ()))
                 yield pa.RecordBatch.from_pylist(out, schema=target)
 
     return src.mapInArrow(run, ddl)
 
 
+def of_kind(parsed: DataFrame, kind: str) -> DataFrame:
+    """One kind's records of ``parse_all``, as ``parse_table`` gives them."""
+    keep = parsed.columns[: parsed.columns.index("kind")]
+    return parsed.filter(F.col("kind") == kind).select(*keep, f"{kind}.*")
+
+
+def _fields(ddl: str) -> str:
+    from pyspark.sql.types import StructType
+
+    return ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in StructType.fromDDL(ddl).fields)
+
+
 def _arrow(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

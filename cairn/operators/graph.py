@@ -202,13 +202,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
 def longest_path(edges: DataFrame) -> int | None:
     """Edges of the longest path of an acyclic graph; None if there is a cycle. Nodes without predecessors are peeled, level by level."""
     e = materialize(edges.select("src", "dst").distinct())
-    level = 0
-    while e.limit(1).count():
-        free = e.select("src").distinct().join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_anti")
-        rest = materialize(e.join(free, "src", "left_anti"))
-        if not free.limit(1).count():
+    level, n = 0, e.count()
+    while n:
+        rest = materialize(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+        left = rest.count()
+        if left == n:
             return None
-        e, level = rest, level + 1
+        e, level, n = rest, level + 1, left
     return level
 
 

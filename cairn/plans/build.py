@@ -2,28 +2,34 @@
 
 Stages, in order: discover, extract, analyze, build, generate. Each writes its table with
 an atomic commit (``_SUCCESS``) and is skipped where that is there, unless forced. Files
-are parsed where they are read; a file that fails gives a row in ``failures``, not a
-failed run.
+are read and parsed once; a file that fails gives a row in ``failures``, not a failed
+run. Tables, schemas and marks are written through Spark's file systems, so the
+knowledge base may lie on HDFS or an object store; the source tree is one that the driver
+can list.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import shutil
 import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairn.functions import expr as X
-from cairn.functions.parsing import examples, parse_table
+from cairn.functions.parsing import KINDS, examples, of_kind, parse_all
 from cairn.operators import graph, incremental, joins, sequence, stats
-from cairn.sources import detect, files as S
+from cairn.operators.iterate import materialize
+from cairn.sources import detect, files as S, storage
 
 STAGES = ("discover", "extract", "analyze", "build", "generate")
-OUTPUTS = {"discover": ["found"], "extract": ["manifest"], "analyze": ["parsed_classes", "parsed_functions", "parsed_enums", "parsed_delegates", "parsed_includes", "parsed_calls", "failures"], "build": ["modules", "classes", "functions", "enums", "examples", "files", "nodes", "edges", "calls", "kb"], "generate": ["README"]}
-PARTITIONED = ("parsed_classes", "parsed_functions", "parsed_enums", "parsed_delegates", "parsed_includes", "parsed_calls", "nodes", "edges", "classes", "functions")
+#: What a parse gives, by module.
+PARSED = ("files", *(f"parsed_{k}" for k in KINDS if k != "failures"), "failures")
+OUTPUTS = {"discover": ["found"], "extract": ["manifest"], "analyze": [*PARSED], "build": ["modules", "classes", "functions", "enums", "examples", "nodes", "edges", "calls", "kb"], "generate": ["README"]}
+PARTITIONED = (*PARSED, "nodes", "edges", "classes", "functions")
+#: Changed modules whose folders alone an update reads; with more, it lists the whole tree.
+FOLDERS = 1000
 TEMPLATE = "# {NAME} knowledge base\n\nVersion {VERSION}, {MODULES} modules. Open with `Index.load(spark, \"{PATH}\")`; commands: {COMMANDS}.\n"
 
 
@@ -44,13 +50,13 @@ class Build:
     # ---- stage state
 
     def path(self, table: str) -> str:
-        return os.path.join(self.out, table)
+        return f"{self.out.rstrip('/')}/{table}"
 
     def read(self, table: str) -> DataFrame | None:
         return S.stage(self.spark, self.path(table))
 
     def is_complete(self, stage: str) -> bool:
-        return all(os.path.isfile(self.path(t) + ".md") if t == "README" else os.path.isfile(os.path.join(self.path(t), "_SUCCESS")) for t in OUTPUTS[stage])
+        return all(storage.exists(self.spark, self.path(t) + (".md" if t == "README" else "/_SUCCESS")) for t in OUTPUTS[stage])
 
     def status(self) -> DataFrame:
         """stage, position, is_complete."""
@@ -59,15 +65,24 @@ class Build:
     def clean(self, stage: str | None = None) -> None:
         for s in [stage] if stage else STAGES:
             for t in OUTPUTS[s]:
-                shutil.rmtree(self.path(t), ignore_errors=True)
-                if os.path.isfile(self.path(t) + ".md"):
-                    os.remove(self.path(t) + ".md")
+                storage.delete(self.spark, self.path(t) + ".md" * (t == "README"))
 
     def _write(self, df: DataFrame, table: str) -> None:
         w = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
         (w.partitionBy("module") if table in PARTITIONED else w).parquet(self.path(table))
-        with open(os.path.join(self.path(table), "_schema.json"), "w", encoding="utf-8") as f:  # a table without rows tells no schema
-            f.write(df.schema.json())
+        storage.write_text(self.spark, self.path(table) + "/_schema.json", df.schema.json())  # a table without rows tells no schema
+
+    def _replace(self, df: DataFrame, table: str, modules: list[str]) -> None:
+        """The partitions of ``modules`` anew: those of which ``df`` has no row are gone."""
+        for m in modules:
+            storage.delete(self.spark, f"{self.path(table)}/{storage.partition('module', m)}")
+        df.write.mode("append").partitionBy("module").parquet(self.path(table))
+        if not storage.exists(self.spark, self.path(table) + "/_schema.json"):
+            storage.write_text(self.spark, self.path(table) + "/_schema.json", df.schema.json())
+
+    def _replace_all(self, df: DataFrame, table: str) -> None:
+        """The partitions of the modules that ``df`` has rows of anew."""
+        self._replace(df, table, [r.module for r in df.select("module").distinct().toLocalIterator()])
 
     def run(self, force: bool = False, only: str | None = None) -> dict[str, float | str]:
         """Runs the stages in order and stops at the first that fails; seconds of each, ``skipped`` or the error."""
@@ -96,27 +111,29 @@ class Build:
         found = S.engine_descriptors(self.spark, os.path.join(self.root, "Engine")) if kind == "engine" else S.plugin_descriptors(self.spark, self.root)
         self._write(found, "found")
 
-    def _sources(self) -> DataFrame:
-        return S.with_module(S.sources(self.spark, self.root), self.read("found"))
-
-    def extract(self) -> None:
+    def _hashes(self) -> DataFrame:
         found = self.read("found")
         hashed = S.with_module(S.hashed_files(self.spark, self.root), found).select("module", "path", "sha256")
         hashed = hashed.unionByName(found.select(F.col("name").alias("module"), F.concat("absolute_path", F.lit("/"), "name", F.lit(".Build.cs")).alias("path"), F.col("file_hash").alias("sha256")))
-        self._write(incremental.manifest(hashed), "manifest")
+        return incremental.manifest(hashed)
+
+    def extract(self) -> None:
+        self._write(self._hashes(), "manifest")
 
     def _parse(self, src: DataFrame, write) -> None:
-        for kind in ("classes", "functions", "enums", "delegates", "includes"):
-            write(parse_table(src, kind), f"parsed_{kind}")
-        write(parse_table(src.filter(F.col("path").endswith(".cpp")), "calls"), "parsed_calls")
+        """Reads and parses each file of ``src`` (path, text, module) once and writes its text and its records by kind."""
+        src = materialize(src)
+        write(src, "files")
+        parsed = materialize(parse_all(src))
+        for kind in KINDS:
+            df = of_kind(parsed, kind)
+            write(df.filter(F.col("path").endswith(".cpp")) if kind == "calls" else df, kind if kind == "failures" else f"parsed_{kind}")
 
     def analyze(self) -> None:
-        src = self._sources()
-        self._parse(src, self._write)
-        self._write(parse_table(src, "failures"), "failures")
+        self._parse(S.with_module(S.sources(self.spark, self.root), self.read("found")), self._write)
 
     def build(self) -> None:
-        found, src = self.read("found"), self._sources()
+        found, src = self.read("found"), self.read("files")
         classes, functions, enums, delegates, includes, calls = (self.read(f"parsed_{k}") for k in ("classes", "functions", "enums", "delegates", "includes", "calls"))
         rename = {"path": "file_path", "line": "line_number"}
         deps = found.select("name", *[X.dependencies("text", k).alias(f"{k.lower()}_dependencies") for k in ("Public", "Private", "Dynamic", "Weak", "Circular")])
@@ -131,7 +148,6 @@ class Build:
         self._write(enums.withColumnsRenamed(rename), "enums")
         ln = sequence.lines(src.withColumnRenamed("path", "source_file"), "source_file")
         self._write(examples(ln), "examples")
-        self._write(src.select("module", F.col("path").alias("file_path"), "text"), "files")
         nodes, edges = graph.module_graph(classes, functions, enums, delegates, includes)
         self._write(nodes, "nodes")
         self._write(edges, "edges")
@@ -144,33 +160,38 @@ class Build:
 
         info = {r.key: r.value for r in self.read("kb").collect()}  # a handful of settings
         text = render(self.config.get("template", TEMPLATE), {"NAME": info["plugin_name"] or info["build_mode"], "VERSION": info["engine_version"], "MODULES": self.read("modules").count(), "PATH": self.out, "COMMANDS": ", ".join(Index.COMMANDS)})
-        with open(self.path("README") + ".md", "w", encoding="utf-8") as f:
-            f.write(text)
+        storage.write_text(self.spark, self.path("README") + ".md", text)
 
     # ---- updates
 
-    def update(self) -> dict[str, int]:
-        """Hashes the tree, parses the modules that changed and overwrites their partitions alone, then merges the manifest. Counts by status."""
+    def check(self) -> dict[str, int]:
+        """Modules by status of change against the manifest; writes nothing but the list of modules found."""
+        return self._changes()[0]
+
+    def _changes(self) -> tuple[dict[str, int], DataFrame, DataFrame]:
         old = self.read("manifest")
         self.discover()
-        found = self.read("found")
-        hashed = S.with_module(S.hashed_files(self.spark, self.root), found).select("module", "path", "sha256")
-        hashed = hashed.unionByName(found.select(F.col("name").alias("module"), F.concat("absolute_path", F.lit("/"), "name", F.lit(".Build.cs")).alias("path"), F.col("file_hash").alias("sha256")))
-        from cairn.operators.iterate import materialize
-
-        new = materialize(incremental.manifest(hashed))
+        new = materialize(self._hashes())
         status = {r.status: r.n for r in joins.diff(old, new).groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return status, old, new
+
+    def update(self) -> dict[str, int]:
+        """Hashes the tree, reads and parses the modules that changed, puts their partitions in place of the old ones (also of kinds of which they have no
+        record any more), removes those of modules that are gone, and makes the index tables again from the parsed ones. Counts by status."""
+        status, old, new = self._changes()
         if set(status) <= {"unchanged"}:
             return status
-        changed = materialize(incremental.changed(old, new).withColumnRenamed("name", "module"))
-        src = self._sources().join(changed, "module", "left_semi")
-        self._parse(src, lambda df, t: incremental.rebuild(self.spark, self.path(t), df))
-        gone = [r.name for r in joins.diff(old, new).filter("status = 'removed'").select("name").toLocalIterator()]
-        for t in OUTPUTS["analyze"]:
-            for m in gone:
-                shutil.rmtree(os.path.join(self.path(t), f"module={m}"), ignore_errors=True)
+        d = materialize(joins.diff(old, new).filter("status <> 'unchanged'").select("name", "status"))
+        names = [r.name for r in d.select("name").toLocalIterator()]  # the names of the modules to replace, streamed
+        changed = d.filter("status <> 'removed'").select(F.col("name").alias("module"))
+        found = self.read("found")
+        roots = [r.absolute_path for r in found.join(changed.withColumnRenamed("module", "name"), "name", "left_semi").select("absolute_path").limit(FOLDERS + 1).collect()]
+        src = S.sources(self.spark, self.root if len(roots) > FOLDERS else roots) if roots else self.read("files").limit(0).select("path", "text")
+        src = S.with_module(src, found).join(changed, "module", "left_semi").dropDuplicates(["path"])  # a module within another's folder is listed twice
+        self._parse(src.select("path", "text", "module"), lambda df, t: self._replace(df, t, names))
         self._write(materialize(incremental.merge(old, new)), "manifest")
         self.build()
+        self.generate()
         return status
 
 
@@ -187,8 +208,16 @@ def partitioned(build: Build, run) -> dict[str, str]:
     return out
 
 
+def partition_status(build: Build) -> DataFrame:
+    """part, n_modules, n_parsed: modules found in each build partition, and of how many a file has been read."""
+    found = build.read("found").withColumn("part", X.partition_of("category"))
+    files = build.read("files")
+    done = files.select(F.col("module").alias("name")).distinct() if files is not None else found.limit(0).select("name")
+    return found.join(done.withColumn("done", F.lit(1)), "name", "left").groupBy("part").agg(F.count(F.lit(1)).alias("n_modules"), F.count("done").alias("n_parsed"))
+
+
 def main(args: list[str] | None = None) -> int:
-    """init, update, status, clean, query: ``python -m cairn.plans.build COMMAND ROOT OUT [ARGUMENTS]``."""
+    """init, update [--check], status, partitioned, partition-status, clean, query: ``python -m cairn.plans.build COMMAND ROOT OUT [ARGUMENTS]``."""
     import sys
 
     from .commands import Index
@@ -202,14 +231,21 @@ def main(args: list[str] | None = None) -> int:
     if args[0] == "init":
         out = b.run(force="--force" in args)
     elif args[0] == "update":
-        out = b.update()
+        out = b.check() if "--check" in args else b.update()
     elif args[0] == "status":
         out = [r.asDict() for r in b.status().collect()]  # five rows
+    elif args[0] == "partitioned":
+        out = b.run(only="discover") | partitioned(b, lambda found: b._parse(S.with_module(S.sources(spark, [r.absolute_path for r in found.select("absolute_path").toLocalIterator()]), found), lambda df, t: b._replace_all(df, t)))
+    elif args[0] == "partition-status":
+        out = [r.asDict() for r in partition_status(b).orderBy("part").collect()]  # six rows
     elif args[0] == "clean":
         out = b.clean(args[3] if len(args) > 3 else None)
-    else:
+    elif args[0] == "query":
         print(Index.load(spark, args[2]).run(*args[3:]))
         return 0
+    else:
+        print(main.__doc__)
+        return 1
     print(json.dumps(out))
     return int(isinstance(out, dict) and any(str(v).startswith("error") for v in out.values()))
 

@@ -28,7 +28,11 @@ class Index:
         from cairn.sources.files import stage
 
         read = lambda name: stage(spark, f"{root}/{name}")
-        return cls(*[read(t) for t in ("modules", "classes", "functions", "enums", "examples", "files")])
+        tables = {t: read(t) for t in ("modules", "classes", "functions", "enums", "examples", "files", "kb")}
+        if tables["files"] is not None:
+            tables["files"] = tables["files"].withColumnRenamed("path", "file_path")
+        kb = tables.pop("kb")
+        return cls(**tables, info={r.key: r.value for r in kb.collect()} if kb is not None else None)  # a handful of settings
 
     # -- classes
 

@@ -41,12 +41,14 @@ def _(s, d):
 
 @query("GRF05_module_graph", "SELECT type, count(*) * (SELECT count(*) FROM part) AS n FROM (VALUES ('contains'), ('contains'), ('inherits'), ('implements'), ('has_method'), ('has_method'), ('includes')) t(type) GROUP BY 1")
 def _(s, d):
-    from cairn.functions.parsing import parse_table
+    from cairn.functions.parsing import of_kind, parse_all
+    from cairn.operators.iterate import materialize
 
     from .q_text import _CLASS
 
-    p = B.table(s, d, "part").selectExpr("p_brand AS module", "concat('f', p_partkey) AS path", f"{_CLASS} AS text")
-    nodes, edges = graph.module_graph(*[parse_table(p, k) for k in ("classes", "functions", "enums", "delegates", "includes")])
+    p = B.table(s, d, "part").repartition(s.sparkContext.defaultParallelism).selectExpr("p_brand AS module", "concat('f', p_partkey) AS path", f"{_CLASS} AS text")
+    parsed = materialize(parse_all(p))
+    nodes, edges = graph.module_graph(*[of_kind(parsed, k) for k in ("classes", "functions", "enums", "delegates", "includes")])
     return edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -108,9 +110,9 @@ def _(s, d):
     return graph.call_graph(c.unionByName(c))
 
 
-@query("GRF14_caller_paths", f"WITH {B.DAG}, {_START}, a AS (SELECT name, src AS c1 FROM start JOIN dag ON dst = name), b AS (SELECT a.*, src AS c2 FROM a LEFT JOIN dag ON dst = c1) SELECT CASE WHEN c2 IS NULL THEN c1 || '>' || name ELSE c2 || '>' || c1 || '>' || name END AS path FROM b")
+@query("GRF14_caller_paths", f"WITH {B.DAG}, start AS (SELECT p_partkey AS name FROM part ORDER BY 1 DESC LIMIT 3), a AS (SELECT name, src AS c1 FROM start JOIN dag ON dst = name), b AS (SELECT a.*, src AS c2 FROM a LEFT JOIN dag ON dst = c1) SELECT CASE WHEN c2 IS NULL THEN c1 || '>' || name ELSE c2 || '>' || c1 || '>' || name END AS path FROM b")
 def _(s, d):
-    p = graph.caller_paths(B.dag(s, d), _start(s, d))
+    p = graph.caller_paths(B.dag(s, d), B.parts(s, d).orderBy(F.desc("name")).limit(3))
     return p.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 

@@ -12,7 +12,8 @@ from .registry import query
 
 
 def _part(s, d, text):
-    return B.table(s, d, "part").selectExpr("p_partkey", f"{text} AS text")
+    """Texts rendered from parts. Parsing takes time by the row, not by the byte, so the few bytes of that table are dealt out to all cores first."""
+    return B.table(s, d, "part").repartition(s.sparkContext.defaultParallelism).selectExpr("p_partkey", f"{text} AS text")
 
 
 # ---------------------------------------------------------------- sources over text columns
@@ -329,5 +330,5 @@ def _(s, d):
 
 @query("PAR23_module_totals", "SELECT p_type AS module, count(*) AS n_classes FROM part GROUP BY 1")
 def _(s, d):
-    p = B.table(s, d, "part").selectExpr("p_type AS module", f"{_CLASS} AS text")
+    p = B.table(s, d, "part").repartition(s.sparkContext.defaultParallelism).selectExpr("p_type AS module", f"{_CLASS} AS text")
     return P.parse_table(p, "classes").groupBy("module").agg(F.count(F.lit(1)).alias("n_classes"))

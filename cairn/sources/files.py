@@ -95,13 +95,34 @@ def metadata_map(kv: DataFrame) -> DataFrame:
 def stage(spark: SparkSession, path: str) -> DataFrame | None:
     """A stage's table, or None where it was not written. The schema beside it, if any, is the table's."""
     import json
-    import os
 
     from pyspark.sql.types import StructType
 
-    local = path.removeprefix("file://")
-    if not os.path.isfile(os.path.join(local, "_SUCCESS")):
+    from . import storage
+
+    if not storage.exists(spark, f"{path}/_SUCCESS"):
         return None
-    known = os.path.join(local, "_schema.json")
-    reader = spark.read.schema(StructType.fromJson(json.load(open(known, encoding="utf-8")))) if os.path.isfile(known) else spark.read
+    known = f"{path}/_schema.json"
+    reader = spark.read.schema(StructType.fromJson(json.loads(storage.read_text(spark, known)))) if storage.exists(spark, known) else spark.read
     return reader.parquet(path)
+
+
+LEGACY = "name string, category string, path string, absolute_path string, build_cs_path string, dependencies array<string>, file_count long, estimated_lines long, indexed_at string"
+
+
+def legacy_registry(spark: SparkSession, path: str) -> DataFrame:
+    """Modules of an old registry file, a JSON object of records by name; fields that a record lacks are null, null lists empty.
+
+    The old format also came as a pickle; unpickling runs code of the file's author, so those must be exported as JSON.
+    """
+    m = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,struct<{', '.join(c.strip().replace(' ', ':', 1) for c in LEGACY.split(','))}>>").alias("m"))
+    rows = m.select(F.explode("m").alias("key", "r"))
+    return rows.select(F.coalesce("r.name", "key").alias("name"), *[F.col(f"r.{c.split()[0]}") if not c.strip().startswith("dependencies") else F.coalesce("r.dependencies", F.array().cast("array<string>")).alias("dependencies") for c in LEGACY.split(", ")[1:]])
+
+
+def import_legacy(spark: SparkSession, path: str, current: DataFrame | None) -> DataFrame:
+    """The old registry's modules upserted by name under the current ones: a module that is there already keeps its row. An import that has been made stays as it is."""
+    old = legacy_registry(spark, path)
+    if current is None:
+        return old
+    return current.select(*old.columns).unionByName(old.join(current.select("name"), "name", "left_anti"))

@@ -195,7 +195,7 @@ def test_graphs_without_sql_hold_all_orders(spark):
         orders.setdefault(r.l_orderkey, []).append(r.l_partkey)
     edges = {e for p in orders.values() for e in zip(p, p[1:])}
     pairs = lambda df: {(r.src, r.dst) for r in df.collect()}
-    assert pairs(B.cyclic(spark, d)) == edges and pairs(B.whole_dag(spark, d)) == {(a, b) for a, b in edges if b > a}
+    assert pairs(B.calls(spark, d)) == edges and pairs(B.dag(spark, d)) == {(a, b) for a, b in edges if b > a}
     out = {}
     for a, b in edges:
         out.setdefault(a, set()).add(b)
@@ -214,3 +214,65 @@ def test_graphs_without_sql_hold_all_orders(spark):
     for r in QUERIES["GRF17_strong_components"](spark, d).collect():
         got.setdefault(r.component, set()).add(r.name)
     assert {c for c in map(frozenset, got.values()) if len(c) > 1} == {c for c in want if len(c) > 1}
+
+
+def test_update_leaves_no_stale_rows(spark, tree, tmp_path):
+    """An enum that goes, a module that goes, one with an odd name that comes; settings are read back; folders are checked by partition."""
+    from cairn.plans.build import partition_status
+
+    out = str(tmp_path / "kb")
+    b = Build(spark, tree, out)
+    assert not any(isinstance(v, str) for v in b.run().values())
+    ix = Index.load(spark, out)
+    assert ix.get_kb_info() == {"kb_version": "1", "engine_version": "5.3", "build_mode": "engine", "plugin_name": ""}
+    assert json.loads(ix.run("get_kb_info"))["engine_version"] == "5.3"
+    assert [r.name for r in ix.enums.collect()] == ["EKind"]
+    thing = os.path.join(tree, "Engine/Source/Runtime/Core/Public/Thing.h")
+    with open(thing) as f:
+        text = f.read()
+    with open(thing, "w") as f:
+        f.write(text[: text.index("UENUM")])
+    os.remove(os.path.join(tree, "Engine/Plugins/FX/Spark/Source/Spark/Spark.Build.cs"))
+    os.makedirs(os.path.join(tree, "Engine/Source/Runtime/New"))
+    for name, content in (("New.Build.cs", "// none"), ("New.h", "class ANew {};\n")):
+        with open(os.path.join(tree, "Engine/Source/Runtime/New", name), "w") as f:
+            f.write(content)
+    assert b.check() == {"unchanged": 1, "modified": 1, "added": 1, "removed": 1}
+    assert b.update() == {"unchanged": 1, "modified": 1, "added": 1, "removed": 1}
+    ix = Index.load(spark, out)
+    assert ix.enums.count() == 0 and {r.name for r in ix.classes.collect()} == {"UThing", "ANew"}
+    assert {r.name for r in ix.modules.collect()} == {"Core", "Base", "New"} and b.read("failures").count() == 0
+    assert {r.module for r in b.read("files").select("module").distinct().collect()} == {"Core", "New"}
+    assert {r.part: (r.n_modules, r.n_parsed) for r in partition_status(b).collect()} == {"Runtime": (3, 2)}
+    assert b.update() == {"unchanged": 3}
+
+
+def test_a_file_that_breaks_the_parser_is_a_failure(spark, monkeypatch):
+    from cairn.functions import parsing
+
+    df = spark.createDataFrame([(1, "class AOne {};"), (2, None)], "id int, text string")
+    parsed = parsing.parse_all(df)
+    assert [r.name for r in parsing.of_kind(parsed, "classes").collect()] == ["AOne"] and parsing.of_kind(parsed, "failures").count() == 0
+    monkeypatch.setattr(parsing.cpp, "parse", lambda t: {}[t])
+    assert parsing._tried("x", "classes") == ([], "KeyError: 'x'") and parsing._tried("x", "failures")[1] == "KeyError: 'x'"
+
+
+def test_legacy_registry(spark, tmp_path):
+    (tmp_path / "old.json").write_text(json.dumps({"A": {"name": "A", "category": "Runtime", "dependencies": ["B"]}, "B": {"category": "Editor", "file_count": 3}}))
+    old = files.legacy_registry(spark, str(tmp_path / "old.json"))
+    assert {r.name: (r.category, r.dependencies, r.file_count) for r in old.collect()} == {"A": ("Runtime", ["B"], None), "B": ("Editor", [], 3)}
+    now = old.filter("name = 'A'").selectExpr("name", "'New' AS category", *[c for c in old.columns if c not in ("name", "category")])
+    merged = files.import_legacy(spark, str(tmp_path / "old.json"), now)
+    assert {r.name: r.category for r in merged.collect()} == {"A": "New", "B": "Editor"}
+    assert files.import_legacy(spark, str(tmp_path / "old.json"), merged).count() == 2 and files.import_legacy(spark, str(tmp_path / "old.json"), None).count() == 2
+
+
+def test_storage(spark, tmp_path):
+    from cairn.sources import storage
+
+    p = str(tmp_path / "a" / "b.txt")
+    storage.write_text(spark, p, "é\n")
+    assert storage.read_text(spark, p) == "é\n" and storage.exists(spark, p) and storage.names(spark, str(tmp_path / "a")) == ["b.txt"]
+    assert storage.delete(spark, str(tmp_path / "a")) and not storage.exists(spark, p) and storage.names(spark, str(tmp_path / "a")) == []
+    spark.createDataFrame([("x/y=1",)], "module string").selectExpr("module", "1 AS v").write.partitionBy("module").parquet(str(tmp_path / "t"))
+    assert storage.partition("module", "x/y=1") in storage.names(spark, str(tmp_path / "t"))
