@@ -4,14 +4,12 @@ Stages, in order: discover, extract, analyze, build, generate. Each writes its t
 an atomic commit (``_SUCCESS``) and is skipped where that is there, unless forced. Files
 are read and parsed once; a file that fails gives a row in ``failures``, not a failed
 run. Tables, schemas and marks are written through Spark's file systems, so the
-knowledge base may lie on HDFS or an object store; the source tree is one that the driver
-can list.
+knowledge base and the source tree may lie on HDFS or an object store.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import time
 from dataclasses import dataclass, field
 
@@ -40,6 +38,14 @@ def render(template: str, values: dict[str, object]) -> str:
     return template.replace("{{", "{").replace("}}", "}")
 
 
+def render_column(template: str, values: dict[str, str]) -> F.Column:
+    """``render`` over rows, with a column for each key."""
+    out = F.lit(template)
+    for k, c in values.items():
+        out = F.replace(out, F.lit("{" + k + "}"), F.col(c).cast("string"))
+    return F.replace(F.replace(out, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
+
+
 @dataclass
 class Build:
     spark: SparkSession
@@ -84,6 +90,16 @@ class Build:
         """The partitions of the modules that ``df`` has rows of anew."""
         self._replace(df, table, [r.module for r in df.select("module").distinct().toLocalIterator()])
 
+    def save_result(self, df: DataFrame, table: str) -> None:
+        """A stage's result with what is known of it: its name, rows and time."""
+        self._write(df, table)
+        n = self.read(table).count()
+        storage.write_text(self.spark, self.path(table) + "/_metadata.json", json.dumps({"stage": table, "n_rows": n, "created": time.time()}))
+
+    def metadata(self, table: str) -> dict | None:
+        at = self.path(table) + "/_metadata.json"
+        return json.loads(storage.read_text(self.spark, at)) if storage.exists(self.spark, at) else None
+
     def run(self, force: bool = False, only: str | None = None) -> dict[str, float | str]:
         """Runs the stages in order and stops at the first that fails; seconds of each, ``skipped`` or the error."""
         result: dict[str, float | str] = {}
@@ -106,9 +122,15 @@ class Build:
 
     # ---- stages
 
+    def _mode(self) -> str:
+        return "engine" if storage.exists(self.spark, f"{self.root.rstrip('/')}/Engine") else "plugin"
+
+    def _version(self) -> str:
+        at = f"{self.root.rstrip('/')}/Engine/Build/Build.version"
+        return detect.engine_version(self.root, info=storage.read_text(self.spark, at) if storage.exists(self.spark, at) else None)
+
     def discover(self) -> None:
-        kind = detect.scan_root(self.root)
-        found = S.engine_descriptors(self.spark, os.path.join(self.root, "Engine")) if kind == "engine" else S.plugin_descriptors(self.spark, self.root)
+        found = S.engine_descriptors(self.spark, f"{self.root.rstrip('/')}/Engine") if self._mode() == "engine" else S.plugin_descriptors(self.spark, self.root)
         self._write(found, "found")
 
     def _hashes(self) -> DataFrame:
@@ -152,7 +174,7 @@ class Build:
         self._write(nodes, "nodes")
         self._write(edges, "edges")
         self._write(graph.call_graph(calls), "calls")
-        info = {"kb_version": "1", "engine_version": detect.engine_version(self.root), "build_mode": detect.scan_root(self.root), "plugin_name": detect.plugin_name(self.root) or ""}
+        info = {"kb_version": "1", "engine_version": self._version(), "build_mode": self._mode(), "plugin_name": next((n[: -len(".uplugin")] for n in storage.names(self.spark, self.root) if n.endswith(".uplugin")), "")}
         self._write(self.spark.createDataFrame([(k, str(v)) for k, v in info.items()], "key string, value string"), "kb")
 
     def generate(self) -> None:

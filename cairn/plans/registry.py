@@ -24,4 +24,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["AGG01_category_statistics"](spark, sf_dir)
 
 
-from . import q_relational, q_text, q_graph  # noqa: E402, F401  (they register)
+from . import q_relational, q_text, q_graph, q_build  # noqa: E402, F401  (they register)

@@ -52,10 +52,13 @@ def scan_root(path: str) -> str:
     return "engine" if os.path.isdir(os.path.join(path, "Engine")) else "plugin"
 
 
-def engine_version(root: str, default: str = "unknown") -> str:
-    """From the version file, else the folder's name, else the default."""
+def engine_version(root: str, default: str = "unknown", info: str | None = None) -> str:
+    """From the version file (or its text, ``info``), else the folder's name, else the default."""
     try:
-        v = json.load(open(os.path.join(root, "Engine", "Build", "Build.version"), encoding="utf-8"))
+        if info is None:
+            with open(os.path.join(root, "Engine", "Build", "Build.version"), encoding="utf-8") as f:
+                info = f.read()
+        v = json.loads(info)
         return f"{v['MajorVersion']}.{v['MinorVersion']}.{v.get('PatchVersion', 0)}"
     except (OSError, ValueError, KeyError):
         m = re.search(r"\d+\.\d+(?:\.\d+)?", os.path.basename(root.rstrip("/")))

@@ -15,6 +15,11 @@ def _binary(spark: SparkSession, paths: list[str] | str, glob: str) -> DataFrame
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(paths)
 
 
+def _text(c: str = "content") -> Column:
+    """The bytes as UTF-8, without those that are none."""
+    return F.translate(F.make_valid_utf8(F.col(c).cast("string")), "\ufffd", "")
+
+
 def plain_path(c: str = "path") -> Column:
     """Without the scheme."""
     return F.regexp_replace(c, "^[a-z]+:/*(?=/)", "")
@@ -25,21 +30,21 @@ def descriptors(spark: SparkSession, root: str, roots: list[str] | None = None)
     f = _binary(spark, roots or root, DESCRIPTOR)
     absolute = plain_path()
     relative = F.regexp_replace(absolute, "^" + _quoted(root) + "/?", "")
-    out = f.select(X.module_name("path").alias("name"), X.category_of_path(relative).alias("category"), X.dirname(relative).alias("path"), X.dirname(absolute).alias("absolute_path"), F.sha2("content", 256).alias("file_hash"), F.col("length").alias("file_size"), F.col("modificationTime").alias("file_mtime"), F.decode("content", "UTF-8").alias("text"))
+    out = f.select(X.module_name("path").alias("name"), X.category_of_path(relative).alias("category"), X.dirname(relative).alias("path"), X.dirname(absolute).alias("absolute_path"), F.sha2("content", 256).alias("file_hash"), F.col("length").alias("file_size"), F.col("modificationTime").alias("file_mtime"), _text().alias("text"))
     return out.orderBy("name", "path")
 
 
 def _quoted(path: str) -> str:
     import re
 
-    return re.escape(path.rstrip("/"))
+    return re.escape(re.sub("^[a-z]+:/*(?=/)", "", path).rstrip("/"))
 
 
 def engine_descriptors(spark: SparkSession, root: str) -> DataFrame:
     """The whole-tree scan restricted to Source, Plugins and Platforms, those that exist."""
-    import os
+    from . import storage
 
-    roots = [p for p in (os.path.join(root, x) for x in ("Source", "Plugins", "Platforms")) if os.path.isdir(p)]
+    roots = [p for p in (f"{root.rstrip('/')}/{x}" for x in ("Source", "Plugins", "Platforms")) if storage.exists(spark, p)]
     return descriptors(spark, root, roots)
 
 
@@ -63,10 +68,11 @@ def not_generated(path: str = "path") -> Column:
     return ~F.col(path).rlike("(^|/)(Intermediate|Saved|Binaries)/")
 
 
-def sources(spark: SparkSession, roots: list[str] | str, glob: str = SOURCES) -> DataFrame:
-    """path and text of source files, generated folders left out. Undecodable bytes are dropped."""
-    f = _binary(spark, roots, glob).filter(not_generated())
-    return f.select(plain_path().alias("path"), F.translate(F.decode("content", "UTF-8"), "\ufffd", "").alias("text"))
+def sources(spark: SparkSession, roots: list[str] | str, glob: str = SOURCES, pruned: bool = True) -> DataFrame:
+    """path and text of source files, generated folders left out if ``pruned``. Undecodable bytes are dropped."""
+    f = _binary(spark, roots, glob)
+    f = f.filter(not_generated()) if pruned else f
+    return f.select(plain_path().alias("path"), _text().alias("text"))
 
 
 def test_sources(spark: SparkSession, roots: list[str] | str) -> DataFrame:
