@@ -34,13 +34,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import batch, binary, materialize, only, remove, shared_dir, skew_join, slices
+from ._common import batch, binary, materialize, mix, only, remove, shared_dir, skew_join, slices
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 4
 #: Repeated lines that are broadcast at most (48 MB).
 MAX_REPEATED = 2_000_000
 
-_LINES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64())])
+_LINES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n_docs", pa.int64()), ("last_doc", pa.int64()), ("batch", pa.int32())])
+_NULL_ID = np.int64(-(2**63))
 
 
 def _keys(text: bytes, min_chars: int) -> list[tuple[bytes, bytes | None]]:
@@ -53,25 +54,37 @@ def _keys(text: bytes, min_chars: int) -> list[tuple[bytes, bytes | None]]:
     return out
 
 
-def _explode(min_chars: int):
-    def run(batches):
-        for rb in batches:
-            ids, text = rb.column(0).to_pylist(), binary(rb.column(1))
+def _combine(h: np.ndarray, doc: np.ndarray, part: np.ndarray) -> list:
+    """Rows of equal hash and batch as one: h1, h2, how many, the largest document."""
+    order = np.lexsort((doc, h[:, 1], h[:, 0], part))
+    h, doc, part = h[order], doc[order], part[order]
+    last = np.append((h[1:] != h[:-1]).any(1) | (part[1:] != part[:-1]), True)[: len(h)]
+    end = np.flatnonzero(last)
+    top = doc[end]
+    return [h[end, 0], h[end, 1], np.diff(np.append(-1, end)), pa.array(top, mask=top == _NULL_ID), part[end].astype(np.int32)]
+
+
+def _explode(min_chars: int, batches: int):
+    def run(record_batches):
+        for rb in record_batches:
+            ids, text = rb.column(0).fill_null(int(_NULL_ID)).to_numpy(), binary(rb.column(1))
+            digests, owner = [], []
             for a, b in slices(text):
-                digests, owner = [], []
-                for i, t in zip(ids[a:b], text.slice(a, b - a).to_pylist()):
+                for i, t in enumerate(text.slice(a, b - a).to_pylist(), a):
                     own = {d for _, d in _keys(t or b"", min_chars) if d}
                     digests.extend(own)
-                    owner.extend([i] * len(own))
-                h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield batch(_LINES, [h[:, 0], h[:, 1], owner])
+                    owner.append(np.full(len(own), i))
+            if digests:
+                doc = ids[np.concatenate(owner)]
+                part = (mix(doc.view(np.uint64)) % np.uint64(batches)).astype(np.int64)
+                yield batch(_LINES, _combine(np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), doc, part))
 
     return run
 
 
-def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1, h2, doc_id: once per document and distinct long enough line key."""
-    return only(docs, "doc_id", "text").mapInArrow(_explode(min_chars), "h1 long, h2 long, doc_id long")
+def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = 1) -> DataFrame:
+    """h1, h2, n_docs, last_doc, batch: of each long enough line key, its documents among those that a task reads together, and the largest doc_id. Documents fall into batches by their id."""
+    return only(docs, "doc_id", "text").mapInArrow(_explode(min_chars, batches), "h1 long, h2 long, n_docs long, last_doc long, batch int")
 
 
 class LineRuns:
@@ -85,7 +98,7 @@ class LineRuns:
 
     def _write(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        # what comes from an aggregation or a join by hash is partitioned by the buckets already; the writer sorts
+        # every table here comes partitioned by the buckets; the writer sorts
         df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.dir}/{name}").saveAsTable(name)
         return name
 
@@ -93,11 +106,14 @@ class LineRuns:
         return [self.spark.table(r) for level in self.levels for r in level]
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Adds a batch (h1, h2, doc_id); returns the aggregated lines that no run held before.
+        """Adds a batch (h1, h2, n_docs, last_doc); returns the aggregated lines that no run held before.
 
         Those become the batch's own run; the counts of lines that a run holds already go to a smaller run of repeats.
         """
-        own = self._write(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc")))
+        # one exchange into the buckets' partitions, which the aggregation and the writer take as they are; a line of very many
+        # documents is a row for each batch of them that a task has read
+        lines = lines.repartition(self.buckets, "h1", "h2")
+        own = self._write(lines.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc")))
         new = own
         if self.levels:
             fresh = self.spark.table(own)
@@ -226,7 +242,7 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int)
     """h1, h2, n_docs, last_doc of the line keys that ``min_docs`` documents or more hold, from runs that ``batches`` batches of documents are added to."""
     spark = docs.sparkSession
     path = shared_dir(spark)
-    lines = line_hashes(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
+    lines = line_hashes(docs, min_chars, batches)
     lines.write.partitionBy("batch").parquet(path)  # a batch reads its own files alone
     lines = spark.read.schema(lines.schema).parquet(path)
     runs = LineRuns(spark)
@@ -246,7 +262,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _explode_keyed(min_chars: int):
-    schema = pa.schema([*_LINES, ("t1", pa.int64()), ("t2", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("h1", "h2", "doc_id", "t1", "t2")])
 
     def run(batches):
         for rb in batches:
