@@ -200,8 +200,16 @@ RULES = [
 ]
 
 _WORD = re.compile(r"[a-z0-9]+")
-#: A text without any of these holds no known sentence and none that speaks of a licence.
-_TRIGGER = re.compile(rb"licen[sc]e|permission|software|redistribut|cc0|compliance|advertising materials|copy[^a-z0-9]+of[^a-z0-9]+the|distributed[^a-z0-9]+in[^a-z0-9]+the[^a-z0-9]+hope|(?:released|distributed|available|published)[^a-z0-9]+under|under[^a-z0-9]+the[^a-z0-9]+terms|terms[^a-z0-9]+and[^a-z0-9]+conditions|copyright[^a-z0-9]+holder|each[^a-z0-9]+contributor|reproduce[^a-z0-9]+and[^a-z0-9]+distribute|in[^a-z0-9]+no[^a-z0-9]+event", re.I)
+#: A text without any of these words and phrases holds no known sentence and none that speaks of a licence. A phrase is looked for only where its first word is.
+_TRIGGERS = (b"license", b"licence", b"permission", b"software", b"redistribut", b"cc0", b"compliance", b"advertising materials")
+_PHRASES = [(p.split(b" ")[0], re.compile(p.replace(b" ", b"[^a-z0-9]+"))) for p in (b"copy of the", b"distributed in the hope", b"released under", b"distributed under", b"available under", b"published under", b"under the terms", b"terms and conditions", b"copyright holder", b"each contributor", b"reproduce and distribute", b"in no event")]
+
+
+def triggers(text: bytes) -> bool:
+    low = text.lower()
+    return any(w in low for w in _TRIGGERS) or any(w in low and p.search(low) for w, p in _PHRASES)
+
+
 _SPEAKS = re.compile(r"licensed under|released under the|license identifier|licensed for|under the terms of")
 #: A sentence begins at a line's first word, or after one of these and white space; one ends before the same.
 _BOUNDARY = re.compile(r"[\n.!?:;]")
@@ -220,7 +228,7 @@ class Library:
         self.ends = {n: _CLAUSE_END if n in clauses else _BOUNDARY for n in sentences}
         for name, forms in sentences.items():
             for f in forms:
-                if not _TRIGGER.search(f.encode()):
+                if not triggers(f.encode()):
                     raise ValueError(f"no trigger word in {f!r}")
                 parts = [normalise(p) for p in f.split("...")]
                 if len(parts) > 1 and not parts[-1]:  # the gap is the end: what follows is free
@@ -287,7 +295,7 @@ _RANK = ["noncommercial", "noderivatives", "copyleft", "permissive", "public-dom
 
 
 def scan(text: bytes, lib: Library) -> tuple[int, int, str, str, str]:
-    if not _TRIGGER.search(text):
+    if not triggers(text):
         return 0, 0, "", "", "none"
     ids, unknown = lib.identifiers(text.decode("utf-8", "replace"))
     found, loose = lib.licences(ids)
