@@ -97,11 +97,21 @@ def hierarchy(parents: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame
     return out.select("start", "level", "name")
 
 
-def inheritance_chain(parents: DataFrame, start: DataFrame, depth: int = 100) -> DataFrame:
-    """start, chain: root first, the class last."""
-    w = hierarchy(parents, start, depth)
-    parts = F.sort_array(F.collect_list(F.struct("level", "name")), asc=False)
-    return w.groupBy("start").agg(F.transform(parts, lambda x: x["name"]).alias("chain"))
+def inheritance_chain(parents: DataFrame, start: DataFrame) -> DataFrame:
+    """start, chain: root first, the class last, however long; a cycle ends it. Chains double with each round, so that there are as many rounds as the longest one has binary digits."""
+    up = parents.filter("parent is not null").groupBy("child").agg(F.min("parent").alias("parent"))
+    # of each child the next ancestors, nearest first, and the last of them as long as it may lead on
+    reach = materialize(up.select("child", F.array_distinct(F.array("child", "parent")).alias("path"), F.when(F.col("child") != F.col("parent"), F.col("parent")).alias("at")))
+    while reach.filter("at is not null").limit(1).count():
+        far = reach.select(F.col("child").alias("via"), F.col("path").alias("far"), F.col("at").alias("far_at"))
+        both = F.array_distinct(F.concat("path", "far"))
+        grown = reach.join(far, reach["at"] == far["via"], "left").select(
+            "child", F.when(F.col("via").isNull(), F.col("path")).otherwise(both).alias("path"),
+            F.when(F.size(both) == F.size("path") + F.size("far") - 1, F.col("far_at")).alias("at"),
+        )
+        reach = materialize(grown)
+    chain = F.coalesce(F.reverse("path"), F.array("name"))
+    return start.join(reach, start["name"] == reach["child"], "left").select(F.col("name").alias("start"), chain.alias("chain"))
 
 
 # ---------------------------------------------------------------- paths

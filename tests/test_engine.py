@@ -133,6 +133,20 @@ def test_graph_algorithms(spark):
     assert graph.inheritance_chain(up, spark.createDataFrame([("a",)], "name string")).first().chain == ["b", "a"]
 
 
+def test_inheritance_chains_have_no_depth_limit(spark, tmp_path):
+    """A line of 150 classes, a tail into a cycle, a class without parents; the query over keys of more binary digits than 20 levels hold."""
+    from cairn.plans.registry import QUERIES
+
+    up = spark.createDataFrame([(i, i + 1) for i in range(150)] + [(200, 201), (201, 202), (202, 203), (203, 201), (300, 300)], "child long, parent long")
+    start = spark.createDataFrame([(0,), (149,), (150,), (200,), (202,), (300,)], "name long")
+    got = {r.start: r.chain for r in graph.inheritance_chain(up, start).collect()}
+    assert got == {0: list(range(150, -1, -1)), 149: [150, 149], 150: [150], 200: [203, 202, 201, 200], 202: [201, 203, 202], 300: [300]}
+    keys = [0, 1, 5, 524287, 524288, 1199999, 2**40]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    want = {k: ">".join(str(k >> i) for i in range(k.bit_length(), -1, -1)) for k in keys}
+    assert {r.start: r.chain for r in QUERIES["GRF08_inheritance_chain"](spark, str(tmp_path)).collect()} == want
+
+
 def test_upsert_null_keys_and_order(spark):
     old = spark.createDataFrame([(None, "a", 1), ("x", "b", 1)], "k string, v string, seq int")
     new = spark.createDataFrame([(None, "c", 0), ("y", "d", 0)], "k string, v string, seq int")
