@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cairn.functions.expr import node_id, or_empty
 
-from .iterate import materialize
+from .iterate import dealt, materialize
 from .joins import dangling
 
 # ---------------------------------------------------------------- building
@@ -58,7 +58,7 @@ def module_graph(classes: DataFrame, functions: DataFrame, enums: DataFrame, del
 
 def call_graph(calls: DataFrame) -> DataFrame:
     """src, dst of distinct caller, callee pairs."""
-    return calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct()
+    return dealt(calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), "src", "dst").distinct()
 
 
 def add(df: DataFrame, rows: DataFrame) -> DataFrame:

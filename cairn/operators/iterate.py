@@ -20,6 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/cairn-{uuid.uuid4().hex}"
 
 
+#: Estimated input bytes that one task of ``dealt`` gets at most.
+TASK_BYTES = 1 << 20
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys brought together in a number of tasks that grows with the input. AQE does not merge them: it goes by compressed bytes,
+    of which narrow rows have so few that its 64 MB are gigabytes in a hash table."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = max(spark.sparkContext.defaultParallelism, min(size // TASK_BYTES, 10_000))
+    return df.repartition(n, *keys)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Written as Parquet and read again: the lineage is cut and no lost executor takes rows along."""
     path = shared_dir(df.sparkSession)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cairn.functions.expr import union_sorted
+from cairn.operators.iterate import dealt
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -68,14 +69,18 @@ modules AS (SELECT s_name AS name, CASE WHEN s_suppkey % 11 <> 0 THEN n_name END
 
 
 def supplier_edges(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "lineitem").createOrReplaceTempView("cairn_lineitem")
-    return spark.sql("""SELECT DISTINCT l_suppkey AS src, nxt AS dst FROM (SELECT l_orderkey, l_suppkey, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nxt FROM cairn_lineitem)
-        WHERE nxt IS NOT NULL AND l_suppkey <> nxt""")
+    return _successors(spark, d, "l_suppkey", "src <> dst").distinct()
+
+
+def _successors(spark: SparkSession, d: str, key: str, where: str) -> DataFrame:
+    """src, dst: the key of each line and of the next of its order, repeated as they are."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = dealt(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), "l_orderkey")
+    return lines.select(F.col(key).alias("src"), F.lead(key).over(w).alias("dst")).filter(F.col("dst").isNotNull()).filter(where)
 
 
 def _part_edges(spark: SparkSession, d: str, where: str) -> DataFrame:
-    table(spark, d, "lineitem").createOrReplaceTempView("cairn_lineitem")
-    return spark.sql(f"""SELECT DISTINCT l_partkey AS src, nxt AS dst FROM (SELECT l_orderkey, l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nxt FROM cairn_lineitem) WHERE nxt IS NOT NULL AND {where}""")
+    return dealt(_successors(spark, d, "l_partkey", where), "src", "dst").distinct()
 
 
 def _part_edges_sql(name: str, where: str) -> str:
@@ -87,11 +92,11 @@ _ALL, _DAG = "true", "nxt > l_partkey"
 
 
 def calls(spark, d):
-    return _part_edges(spark, d, _ALL)
+    return _part_edges(spark, d, "true")
 
 
 def dag(spark, d):
-    return _part_edges(spark, d, _DAG)
+    return _part_edges(spark, d, "dst > src")
 
 
 CALLS, DAG = _part_edges_sql("calls", _ALL), _part_edges_sql("dag", _DAG)

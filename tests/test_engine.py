@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
 
 from cairn.functions import expr as X
 from cairn.functions.parsing import register
@@ -290,3 +291,14 @@ def test_storage(spark, tmp_path):
     assert storage.delete(spark, str(tmp_path / "a")) and not storage.exists(spark, p) and storage.names(spark, str(tmp_path / "a")) == []
     spark.createDataFrame([("x/y=1",)], "module string").selectExpr("module", "1 AS v").write.partitionBy("module").parquet(str(tmp_path / "t"))
     assert storage.partition("module", "x/y=1") in storage.names(spark, str(tmp_path / "t"))
+
+
+def test_narrow_edges_stay_in_many_tasks(spark):
+    """Distinct edges are not merged into one task because their bytes compress well; more input makes more tasks."""
+    from cairn.operators.iterate import TASK_BYTES, dealt
+
+    calls = spark.range(20_000).selectExpr("id % 5000 AS caller", "id % 5000 + 1 AS callee")
+    e = graph.call_graph(calls.unionByName(calls))
+    assert e.count() == 5000
+    assert e.groupBy(F.spark_partition_id()).count().count() == spark.sparkContext.defaultParallelism
+    assert dealt(spark.range(20 * TASK_BYTES // 8), "id").rdd.getNumPartitions() == 20
