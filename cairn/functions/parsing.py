@@ -95,6 +95,27 @@ def parse_all(files: DataFrame, text: str = "text") -> DataFrame:
     return src.mapInArrow(run, ddl)
 
 
+def count_kinds(files: DataFrame, kinds: tuple[str, ...], text: str = "text") -> DataFrame:
+    """kind, n: how many records of each kind all texts give, each text parsed once; a kind without records counts 0."""
+    spark = files.sparkSession
+    target = _arrow(spark, "kind string, n long")
+
+    def run(batches):
+        n = dict.fromkeys(kinds, 0)
+        for rb in batches:
+            for t in rb.column(0).to_pylist():
+                try:
+                    found = cpp.parse(t)
+                except Exception:  # whatever a file does to the parser concerns that file alone
+                    continue
+                for k in kinds:
+                    n[k] += len(found[k])
+        yield pa.RecordBatch.from_pylist([{"kind": k, "n": v} for k, v in n.items()], schema=target)
+
+    none = spark.createDataFrame([(k, 0) for k in kinds], "kind string, n long")
+    return files.select(text).mapInArrow(run, "kind string, n long").unionByName(none).groupBy("kind").agg(F.sum("n").alias("n"))
+
+
 def of_kind(parsed: DataFrame, kind: str) -> DataFrame:
     """One kind's records of ``parse_all``, as ``parse_table`` gives them."""
     keep = parsed.columns[: parsed.columns.index("kind")]

@@ -206,12 +206,7 @@ _CLASS = """concat('#include "Brand', p_size, '/P.h"\\n/** Doc of ', p_name, ' *
 
 @query("PAR01_all_kinds", "SELECT 'classes' AS kind, count(*) AS n FROM part UNION ALL SELECT 'functions', 2 * count(*) FROM part UNION ALL SELECT 'enums', count(*) FROM part UNION ALL SELECT 'includes', count(*) FROM part")
 def _(s, d):
-    p = _part(s, d, _CLASS)
-    out = None
-    for kind in ("classes", "functions", "enums", "includes"):
-        n = P.parse_table(p, kind).groupBy(F.lit(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-        out = n if out is None else out.unionByName(n)
-    return out
+    return P.count_kinds(_part(s, d, _CLASS), ("classes", "functions", "enums", "includes"))
 
 
 @query("PAR02_classes", "SELECT p_partkey, 'APart' || p_partkey AS name, 'A' || p_type AS parent_class, 'IBrand' || regexp_extract(p_brand, '([0-9]+)', 1) AS interfaces, 4 AS line, true AS is_uclass, p_size % 2 = 0 AS is_blueprintable, 'Doc of ' || p_name AS doc FROM part")

@@ -132,3 +132,16 @@ def test_null_and_empty():
 def test_never_fails_and_keeps_lines(text):
     cpp.parse(text)
     assert cpp.strip_comments(text).count("\n") == text.count("\n") and len(cpp.strip_comments(text)) == len(text)
+
+
+def test_all_kinds_are_counted_in_one_parse(spark):
+    """Four kinds of a text cost one pass through Python; texts without records, and kinds without any, count 0."""
+    from cairn.functions import parsing
+
+    df = spark.createDataFrame([(1, '#include "a.h"\nclass A { int32 B(); };\nenum E { X };'), (2, None), (3, "void F(int a);\nvoid G(int a);")], "id long, text string")
+    out = parsing.count_kinds(df, ("classes", "functions", "enums", "includes", "delegates"))
+    assert {r.kind: r.n for r in out.collect()} == {"classes": 1, "functions": 3, "enums": 1, "includes": 1, "delegates": 0}
+    from cairn.plans.registry import QUERIES
+
+    plan = QUERIES["PAR01_all_kinds"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
