@@ -7,10 +7,12 @@ a node that is on it, unless cycles are asked for.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cairn.functions.expr import node_id, or_empty
 
+from . import dense
 from .iterate import dealt, materialize
 from .joins import dangling
 
@@ -180,8 +182,35 @@ def weak_components(nodes: DataFrame, edges: DataFrame, key: str = "name") -> Da
         label = new.drop("old")
 
 
+def _dense(edges: DataFrame) -> dense.Dense | None:
+    """The written edges (src, dst) by numbered nodes; None where there are more than ``dense.LIMIT``."""
+    nodes = materialize(edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct())
+    n = nodes.count()
+    return dense.Dense(edges, nodes, n) if n <= dense.LIMIT else None
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """name, component: forward colouring by the largest id, then the backward reach of each colour's root; rounds until no node is left."""
+    """name, component (the largest name in it)."""
+    edges = materialize(edges.select("src", "dst"))
+    g = _dense(edges)
+    try:
+        found = g and g.components()
+    except dense.SplitNode:
+        found = None
+    if found is None:
+        return _strong_by_joins(edges)
+    held = edges.sparkSession.sparkContext.broadcast(found)
+
+    def run(batches):
+        for rb in batches:
+            yield pa.RecordBatch.from_arrays([rb.column("name"), pa.array(held.value[rb.column("id").to_numpy()])], names=["name", "root"])
+
+    root = g.nodes.mapInArrow(run, f"name {g.nodes.schema['name'].dataType.simpleString()}, root int")
+    return root.join(g.nodes.select(F.col("id").alias("root"), F.col("name").alias("component")), "root").select("name", "component")
+
+
+def _strong_by_joins(edges: DataFrame) -> DataFrame:
+    """Forward colouring by the largest id, then the backward reach of each colour's root; rounds until no node is left."""
     e = materialize(edges.filter("src <> dst").select("src", "dst").distinct())
     left = materialize(edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct())
     done = None
@@ -210,7 +239,20 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 
 def longest_path(edges: DataFrame) -> int | None:
-    """Edges of the longest path of an acyclic graph; None if there is a cycle. Nodes without predecessors are peeled, level by level."""
+    """Edges of the longest path of an acyclic graph; None if there is a cycle."""
+    edges = materialize(edges.select("src", "dst"))
+    g = _dense(edges)
+    try:
+        level = g and g.levels(g.forward)
+    except dense.SplitNode:
+        level = None
+    if level is None:
+        return _longest_by_joins(edges)
+    return None if (level < 0).any() else int(level.max(initial=0))
+
+
+def _longest_by_joins(edges: DataFrame) -> int | None:
+    """Nodes without predecessors are peeled, level by level."""
     e = materialize(edges.select("src", "dst").distinct())
     level, n = 0, e.count()
     while n:
@@ -232,11 +274,13 @@ def statistics(nodes: DataFrame, edges: DataFrame, key: str = "name") -> DataFra
 
 def call_statistics(edges: DataFrame) -> DataFrame:
     """n_nodes, n_edges, n_isolates (nodes whose only edges are their own), n_components (strong), longest_path ('N/A' with a cycle)."""
-    spark = edges.sparkSession
-    scc = strong_components(edges)
+    edges = materialize(edges.select("src", "dst"))
+    scc = materialize(strong_components(edges))
     n = scc.agg(F.count(F.lit(1)).alias("n_nodes"), F.countDistinct("component").alias("n_components"))
     lone = isolates(edges.select(F.explode(F.array("src", "dst")).alias("name")), edges.filter("src <> dst")).agg(F.count(F.lit(1)).alias("n_isolates"))
-    path = longest_path(edges)
+    one = n.first()
+    cyclic = one.n_components < one.n_nodes or edges.filter("src = dst").limit(1).count() > 0
+    path = None if cyclic else longest_path(edges)
     return n.crossJoin(edges.agg(F.count(F.lit(1)).alias("n_edges"))).crossJoin(lone).withColumn("longest_path", F.lit("N/A" if path is None else str(path)))
 
 

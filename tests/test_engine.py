@@ -302,3 +302,53 @@ def test_narrow_edges_stay_in_many_tasks(spark):
     assert e.count() == 5000
     assert e.groupBy(F.spark_partition_id()).count().count() == spark.sparkContext.defaultParallelism
     assert dealt(spark.range(20 * TASK_BYTES // 8), "id").rdd.getNumPartitions() == 20
+
+
+def test_walks_by_numbers_and_by_joins_agree(spark, monkeypatch):
+    """Random graphs with and without cycles, blocks of few edges, a chain of falling names; the walk by joins is only for more nodes than fit."""
+    import random
+
+    from cairn.operators import dense
+
+    monkeypatch.setattr(dense, "BLOCK", 40)
+    rnd = random.Random(3)
+    cyclic = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(90)] + [(100 - i, 99 - i) for i in range(30)]
+    df = spark.createDataFrame(cyclic, "src long, dst long")
+    acyclic = df.filter("src < dst")
+    to = {}
+    for a, b in cyclic:
+        to.setdefault(a, set()).add(b)
+
+    def reach(x):
+        seen, todo = set(), [x]
+        while todo:
+            new = to.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        return seen
+
+    far = {x: reach(x) for e in cyclic for x in e}
+    want = {x: max([x, *(y for y in far[x] if x in far[y])]) for x in far}
+    level = {}
+    for a, b in sorted(p for p in cyclic if p[0] < p[1]):
+        level[b] = max(level.get(b, 0), level.get(a, 0) + 1)
+    with monkeypatch.context() as m:
+        m.setattr(graph, "_strong_by_joins", None)
+        m.setattr(graph, "_longest_by_joins", None)
+        assert {r.name: r.component for r in graph.strong_components(df).collect()} == want
+        assert graph.longest_path(acyclic) == max(level.values()) and graph.longest_path(df) is None
+        assert graph.call_statistics(acyclic).first().longest_path == str(max(level.values()))
+        assert graph.strong_components(df.filter("1 = 0")).count() == 0
+    monkeypatch.setattr(dense, "LIMIT", 10)
+    assert graph.longest_path(acyclic) == max(level.values())
+    small = [p for p in cyclic if max(p) < 25]
+    a = {frozenset(v) for v in _groups(graph.strong_components(spark.createDataFrame(small, "src long, dst long")))}
+    monkeypatch.setattr(dense, "LIMIT", 1000)
+    assert a == {frozenset(v) for v in _groups(graph.strong_components(spark.createDataFrame(small, "src long, dst long")))}
+
+
+def _groups(components):
+    out = {}
+    for r in components.collect():
+        out.setdefault(r.component, set()).add(r.name)
+    return out.values()
