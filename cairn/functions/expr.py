@@ -319,22 +319,29 @@ def enum_values(body: ColumnOrName) -> Column:
 
 def first_json_object(text: ColumnOrName) -> Column:
     """The first complete top-level object of concatenated JSON, braces within strings and escapes aside; null if there is none."""
-    chars = F.split(col(text), "")
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(-1).alias("end"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(-1).alias("begin"))
+    at = F.locate("{", col(text))
+    # objects of up to three levels by one regex; deeper ones by a fold over braces, strings and what is between, not over characters
+    fold = F.when(at > 0, _outer_object(F.substr(col(text), at)))
+    return F.coalesce(F.nullif(F.regexp_extract(col(text), r"(?s)\A[^{]*+(" + _OBJECT + ")", 1), F.lit("")), fold)
+
+
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_OBJECT = rf'\{{(?:[^{{}}"]++|{_STRING})*+\}}'
+for _ in range(2):
+    _OBJECT = rf'\{{(?:[^{{}}"]++|{_STRING}|{_OBJECT})*+\}}'
+
+
+def _outer_object(c: Column) -> Column:
+    """The object that a text begins with, or null."""
+    tokens = F.regexp_extract_all(c, F.lit(rf'(?s)[{{}}]|{_STRING}|"(?:.*+)|[^{{}}"]++'), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("over"))
 
     def step(a, x):
-        inside = a["quoted"]
-        live = a["end"] < 0
-        opens, closes = live & ~inside & (x == "{"), live & ~inside & (x == "}") & (a["depth"] > 0)
-        depth = a["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        quoted = F.when(inside & ~a["escaped"] & (x == '"'), False).when(~inside & (x == '"') & (a["depth"] > 0), True).otherwise(inside)
-        return F.struct(
-            depth.alias("depth"), (a["n"] + 1).alias("n"), F.when(closes & (depth == 0), a["n"]).otherwise(a["end"]).alias("end"), quoted.alias("quoted"),
-            (inside & ~a["escaped"] & (x == "\\")).alias("escaped"), F.when(opens & (a["depth"] == 0), a["n"]).otherwise(a["begin"]).alias("begin"),
-        )
-
-    found = F.aggregate(chars, start, step)
-    return F.when(found["end"] >= 0, F.substring(col(text), found["begin"] + 1, found["end"] - found["begin"] + 1))
+        depth = a["depth"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)
+        return F.when(a["over"], a).otherwise(F.struct(depth.alias("depth"), (a["n"] + F.length(x)).alias("n"), (depth == 0).alias("over")))
+
+    end = F.aggregate(tokens, start, step, lambda a: F.when(a["over"], a["n"]))
+    return F.substr(c, F.lit(1), end)
 
 
 def version(build_json: ColumnOrName, directory: ColumnOrName, default: str = "unknown") -> Column:

@@ -352,3 +352,13 @@ def _groups(components):
     for r in components.collect():
         out.setdefault(r.component, set()).add(r.name)
     return out.values()
+
+
+def test_first_json_object_of_any_depth_and_length(spark):
+    """Nested deeper than the regex goes, long strings and lists, unclosed ones; plans without a fold over characters."""
+    long = '{"k": "' + 'x\\"}' * 50_000 + '"}'
+    cases = {'a}"{"a": "}"} {x': '{"a": "}"}', "{" * 6 + '"}"' + "}" * 6 + "}": "{" * 6 + '"}"' + "}" * 6, "{{}": None, '{"a': None, "": None, "no": None, long + "{": long, '{{{{"a\\\\"}}}}': '{{{{"a\\\\"}}}}'}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "text string, want string")
+    got = df.select("text", "want", X.first_json_object("text").alias("got"))
+    assert got.filter(~F.col("want").eqNullSafe(F.col("got"))).count() == 0
+    assert "split(" not in got._jdf.queryExecution().optimizedPlan().toString()
