@@ -170,18 +170,22 @@ def blank_strings(c: ColumnOrName) -> Column:
 
 
 def split_params(c: ColumnOrName) -> Column:
-    """Parts at commas outside brackets, by a fold over the characters."""
-    chars = F.filter(F.split(col(c), ""), lambda x: x != "")
-    start = F.struct(F.array(F.lit("")).alias("out"), F.lit(0).alias("depth"))
+    """Parts at commas outside brackets: a plain split where there are no brackets, else cut where a fold over brackets, commas and what is between says."""
+    x = col(c)
+    tokens = F.regexp_extract_all(x, F.lit(r"[<>()\[\]{},]|[^<>()\[\]{},]++"), F.lit(0))
+    start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("depth"), F.lit(1).alias("at"))
 
-    def step(acc, x):
-        depth = acc["depth"] + F.when(x.isin("<", "(", "[", "{"), 1).when(x.isin(">", ")", "]", "}"), -1).otherwise(0)
-        last = F.element_at(acc["out"], -1)
-        head = F.slice(acc["out"], 1, F.size(acc["out"]) - 1)
-        out = F.when((x == ",") & (acc["depth"] == 0), F.concat(acc["out"], F.array(F.lit("")))).otherwise(F.concat(head, F.array(F.concat(last, x))))
-        return F.struct(out.alias("out"), F.greatest(depth, F.lit(0)).alias("depth"))
+    def step(acc, t):
+        depth = acc["depth"] + F.when(t.isin("<", "(", "[", "{"), 1).when(t.isin(">", ")", "]", "}"), -1).otherwise(0)
+        cuts = F.when((t == ",") & (acc["depth"] == 0), F.concat(acc["cuts"], F.array(acc["at"]))).otherwise(acc["cuts"])
+        return F.struct(cuts.alias("cuts"), F.greatest(depth, F.lit(0)).alias("depth"), (acc["at"] + F.length(t)).alias("at"))
 
-    return F.filter(F.transform(F.aggregate(chars, start, step, lambda acc: acc["out"]), lambda x: F.trim(x)), lambda p: p != "")
+    def pieces(acc):
+        begins = F.concat(F.array(F.lit(1)), F.transform(acc["cuts"], lambda i: i + 1))
+        return F.transform(F.arrays_zip(begins.alias("a"), F.concat(acc["cuts"], F.array(acc["at"])).alias("z")), lambda p: F.substr(x, p["a"], p["z"] - p["a"]))
+
+    parts = F.when(x.rlike(r"[<(\[{]"), F.aggregate(tokens, start, step, pieces)).otherwise(F.split(x, ","))
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
 _PARAM = r"(?s)^(.*[\s&*>])\s*([A-Za-z_]\w*)\s*(?:\[\w*\])?\s*(?:=\s*(.*))?$"
@@ -201,7 +205,7 @@ def specifier_flags(c: ColumnOrName, kind: str) -> Column:
     """Known flags of a macro's arguments, whole specifiers only, in the vocabulary's order."""
     words = {"class": CLASS_FLAGS, "property": PROPERTY_FLAGS, "function": FUNCTION_FLAGS}[kind]
     have = F.transform(split_params(c), lambda p: F.trim(F.substring_index(p, "=", 1)))
-    return F.filter(texts(*words), lambda w: F.array_contains(have, w))
+    return F.coalesce(F.array_intersect(texts(*words), have), empty())  # parts are split once, not for each word
 
 
 def specifier_category(c: ColumnOrName, bare: bool = False) -> Column:

@@ -362,3 +362,14 @@ def test_first_json_object_of_any_depth_and_length(spark):
     got = df.select("text", "want", X.first_json_object("text").alias("got"))
     assert got.filter(~F.col("want").eqNullSafe(F.col("got"))).count() == 0
     assert "split(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_params_are_split_once_and_not_by_character(spark):
+    """Parts of odd brackets as before; flags do not split the text again for each word of the vocabulary."""
+    cases = {"a, b<c, d>, (e, [f]), g": ["a", "b<c, d>", "(e, [f])", "g"], ")a,(b,c": [")a", "(b,c"], "é<1,2>,ü": ["é<1,2>", "ü"], "a,,b ": ["a", "b"], "": [], None: None}
+    df = spark.createDataFrame(list(cases.items()), "text string, want array<string>")
+    assert df.filter(~F.col("want").eqNullSafe(X.split_params("text"))).count() == 0
+    flags = spark.createDataFrame([('Transient, X="Abstract, y", meta=(A="b", Config="c"), Abstract',), ("",), (None,)], "text string").select(X.specifier_flags("text", "class").alias("f"))
+    assert [r.f for r in flags.collect()] == [["Abstract", "Transient"], [], []]
+    plan = flags._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan
