@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cairn.functions.expr import basename, col, dirname, normal_path, or_empty, stem, union_sorted
 
+from .iterate import dealt
+
 KINDS = ("public", "private", "dynamic", "weak", "circular")
 
 
@@ -73,9 +75,11 @@ def sources_of_headers(resolved: DataFrame) -> DataFrame:
 
 def implementation_file(declarations: DataFrame, sources: DataFrame) -> DataFrame:
     """name, header, cpp: of a header's sources (header, cpp) the one with the same stem, else the first by path."""
-    pair = declarations.join(sources, "header")
-    best = F.row_number().over(Window.partitionBy("name", "header").orderBy(F.desc(stem("header") == stem("cpp")), "cpp"))
-    return pair.withColumn("nth", best).filter("nth = 1").select("name", "header", "cpp")
+    same = stem("header") == stem("cpp")
+    rank = F.when(same, 0).when(~same, 1).otherwise(2)
+    # the choice hangs on the header alone, so each header's sources are looked through once, in tasks that grow with the input
+    best = dealt(sources.select("header", "cpp"), "header").groupBy("header").agg(F.min(F.struct(rank.alias("rank"), "cpp")).alias("b"))
+    return declarations.select("name", "header").distinct().join(best, "header").select("name", "header", "b.cpp")
 
 
 def definition_lines(functions: DataFrame, lines: DataFrame) -> DataFrame:

@@ -245,7 +245,7 @@ def _(s, d):
 
 @query("JON10_implementation_file", """WITH s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) SELECT 'F' || l_suppkey AS name, 'h/' || l_suppkey || '.h' AS header, 'c/' || l_partkey || '.cpp' AS cpp FROM s QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY (l_partkey = l_suppkey) DESC, 'c/' || l_partkey || '.cpp') = 1""")
 def _(s, d):
-    r = B.table(s, d, "lineitem").selectExpr("concat('h/', l_suppkey, '.h') AS header", "concat('c/', l_partkey, '.cpp') AS cpp").distinct()
+    r = B.table(s, d, "lineitem").selectExpr("concat('h/', l_suppkey, '.h') AS header", "concat('c/', l_partkey, '.cpp') AS cpp")
     decl = B.table(s, d, "supplier").selectExpr("concat('F', s_suppkey) AS name", "concat('h/', s_suppkey, '.h') AS header")
     return joins.implementation_file(decl, r)
 

@@ -373,3 +373,12 @@ def test_params_are_split_once_and_not_by_character(spark):
     assert [r.f for r in flags.collect()] == [["Abstract", "Transient"], [], []]
     plan = flags._jdf.queryExecution().optimizedPlan().toString()
     assert "array_contains" not in plan
+
+
+def test_implementation_files_are_chosen_by_header(spark):
+    """The same stem first, else the first path, a null path last; one choice a header whatever declares it, without a sorted window over declarations and sources."""
+    decl = spark.createDataFrame([("F", "h/A.h"), ("F", "h/A.h"), ("G", "h/A.h"), ("H", "h/B.h"), ("I", "h/None.h"), ("J", "h/C.h")], "name string, header string")
+    src = spark.createDataFrame([("h/A.h", "c/0.cpp"), ("h/A.h", "c/A.cpp"), ("h/A.h", "z/A.cpp"), ("h/B.h", None), ("h/B.h", "c/2.cpp"), ("h/B.h", "c/1.cpp"), ("h/B.h", "c/1.cpp"), ("h/C.h", None)], "header string, cpp string")
+    out = joins.implementation_file(decl, src)
+    assert sorted(map(tuple, out.collect()), key=str) == [("F", "h/A.h", "c/A.cpp"), ("G", "h/A.h", "c/A.cpp"), ("H", "h/B.h", "c/1.cpp"), ("J", "h/C.h", None)]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
