@@ -29,7 +29,8 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     of which narrow rows have so few that its 64 MB are gigabytes in a hash table."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = max(spark.sparkContext.defaultParallelism, min(size // TASK_BYTES, 10_000))
+    # up to 200 files a task are written without sorting in memory, so more are taken only where tasks would be eight times as large
+    n = max(spark.sparkContext.defaultParallelism, min(size // TASK_BYTES, 200), min(size // (8 * TASK_BYTES), 10_000))
     return df.repartition(n, *keys)
 
 
